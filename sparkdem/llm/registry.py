@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdem.llm import bpe, sharding, simhash
-from sparkdem.llm.common import table
+from sparkdem.llm import ann, bpe, chat, mixing, ogg, sharding, simhash, tokenfile, toxicity
+from sparkdem.llm.common import shared_dir, table
 
 
 def vocab_path() -> str:
@@ -35,5 +36,73 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op5_sharding": op5_sharding}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    manifest = tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder, vocab_path(), end_id=0)
+    return tokenfile.checksums(tokenfile.read_tokens(spark, manifest))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = ogg.to_media(table(spark, sf_dir, "documents"))
+    back = ogg.from_media(media.select("id", "media")).select(F.col("id").alias("doc_id"), "n_bytes", "payload", "feature", "streams", "seconds", "error", "media_bytes", "media_sha256")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "streams",
+        "seconds",
+        "error",
+    )
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\\### Assistant: </turn> ok"
+    extra = spark.sql(f"select -7L as conv_id, turn, role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_chats(chat.format_chats(chats))
+    digest = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = toxicity.train(docs, labels.where(fold != 2))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n"))
+    return mixing.mix(docs, "doc_id", max_repeats=2.0).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
+    "op4_ann": op4_ann,
+    "op5_sharding": op5_sharding,
+    "op6_token_files": op6_token_files,
+    "op7_ogg": op7_ogg,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_chat": op10_chat,
+}
 ORACLES: dict[str, str] = {}
