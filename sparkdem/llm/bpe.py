@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import arrow_map
+from sparkdem.llm.common import arrow_map, materialise
 
 #: Fixed value: the pretoken pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,11 +228,20 @@ def count_words(df: DataFrame, vocab_path: str, text_col: str = "text") -> DataF
 
 
 def build_lexicon(df: DataFrame, vocab_path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compiles the `size` most frequent words of all texts; gives the name under which every executor has the file.
+    """Compiles the most frequent words of all texts; gives the name under which every executor has the file.
 
-    The driver gets `size` words, whatever the corpus. A lexicon of no words is valid.
+    Frequencies are taken in classes of two significant digits: the lexicon holds the highest classes that have `size`
+    words at most together, so the driver gets no more than that, whatever the corpus and the number of tasks. Words
+    that occur once aren't worth an entry. A lexicon of no words is valid.
     """
-    top = count_words(df, vocab_path, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    scale = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(F.col("n").cast("string")) - 2)).cast("long")
+    counts = materialise(count_words(df, vocab_path, text_col).where("n > 1").withColumn("level", F.expr("n div 1") - F.col("n") % scale), "words")
+    least, held = None, 0
+    for level, words in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 90 classes a digit
+        if held + words > size:
+            break
+        least, held = level, held + words
+    top = counts.where(F.col("level") >= least).select("word").collect() if held else []
     vocab = vocabulary(vocab_path)
     data = compile_lexicon({r.word.encode("utf-8", "surrogatepass"): vocab.merge(r.word) for r in top})
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"{uuid.uuid4().hex}.lex")
@@ -267,7 +276,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
         for batch in batches:
             n, digests, texts = [], [], []
             for x in batch.column(1):
-                ids = x.values.to_pylist() if x.is_valid else []
+                ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
                 n.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(vocab.texts_of.__getitem__, ids)).encode()).hexdigest())
                 texts.append(vocab.decode(ids))
