@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdem.llm import ann, bpe, chat, mixing, ogg, sharding, simhash, tokenfile, toxicity
+from sparkdem.llm import ann, bpe, chat, lines, mixing, ogg, sharding, simhash, tokenfile, toxicity
 from sparkdem.llm.common import shared_dir, table
 
 
@@ -76,6 +76,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_components(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "component_id", "kept")
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
@@ -97,6 +101,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op3_lines": op3_lines,
     "op4_ann": op4_ann,
     "op5_sharding": op5_sharding,
     "op6_token_files": op6_token_files,
