@@ -33,6 +33,8 @@ SHARE, EVIDENCE = 0.01, 14.0
 MOST_ORDINARY = 20_000
 #: A term whose neighbours are ordinary words in more than this share of the rows that aren't toxic is found exactly only.
 COMMON_NEIGHBOURS = 0.002
+#: Terms that a task counts before it passes their counts on, a bound of memory.
+TERMS_AT_A_TIME = 200_000
 #: Terms of so many letters or more are also found with one edit. Words on either side of a hit that are its context.
 FUZZY_FROM, WINDOW = 5, 6
 #: Words of address, words of report, and quotation marks.
@@ -111,7 +113,7 @@ class Matcher:
 class Scanner:
     """Hits and features of texts; remembers what words are and aren't hits."""
 
-    def __init__(self, model: dict, remember: int = 500_000):
+    def __init__(self, model: dict, remember: int = 300_000):
         self.matcher, self.weights, self.remember = Matcher(model["terms"], frozenset(model["exact_only"])), model["evidence"], remember
         self.ordinary = frozenset(model["ordinary"])
         self.clean = set(self.ordinary)
@@ -169,8 +171,12 @@ def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
         for batch in batches:
             for t, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = set(WORD.findall((t.as_py() or "").lower()))
-                seen[bool(toxic)].update(("=" + w for w in words))
-                seen[bool(toxic)].update({"^" + w[:k] for w in words for k in STEM if len(w) > k})
+                found = seen[bool(toxic)]
+                found.update("=" + w for w in words)
+                found.update({"^" + w[:k] for w in words for k in STEM if len(w) > k})
+                if len(found) > TERMS_AT_A_TIME:
+                    yield list(found), [bool(toxic)] * len(found), list(found.values())
+                    found.clear()
         for toxic, found in seen.items():
             yield list(found), [toxic] * len(found), list(found.values())
 
