@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import arrow_map, materialise
+from sparkdem.llm.common import arrow_map, hashed_sample, materialise
 
 #: The model is fitted on at most so many vectors (those with the least hash of id) and cuts them into parts of so many.
 SAMPLE, PART = 4096, 96
@@ -189,7 +189,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     query, it is compared with all rows, so it gets k rows if there are so many. An empty table gives no rows.
     """
     valid = vectors_of(df, id_col, vec_col)
-    sample = valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = hashed_sample(valid, ["id"], SAMPLE).collect()
     if not sample:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     dims, counts = np.unique([len(r.v) for r in sample], return_counts=True)

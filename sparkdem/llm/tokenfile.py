@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkdem.llm.bpe import batches_of_texts, encode_texts, vocabulary
-from sparkdem.llm.common import arrow_map, materialise
+from sparkdem.llm.common import arrow_map, hashed_sample, materialise
 
 #: The dictionary is trained on this many documents, those with the least hash of id and text, and on so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 65_536
@@ -80,7 +80,7 @@ def write_tokens(df: DataFrame, folder: str, vocab_path: str, end_id: int = 0, i
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias("h"))
     n = keys.count()
-    least = keys.orderBy("h").limit(SAMPLE_DOCS).select("h").distinct()
+    least = hashed_sample(keys, ["h"], SAMPLE_DOCS).select("h").distinct()
     sample = docs.join(F.broadcast(least), F.xxhash64("id", "text") == F.col("h"), "left_semi")
     vocab_size = len(vocabulary(vocab_path).bytes_of)
     width = 2 if max(vocab_size - 1, end_id) < 1 << 16 else 4

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdem.llm import simhash
-from sparkdem.llm.common import arrow_map, materialise
+from sparkdem.llm.common import arrow_map, hashed_sample, materialise
 
 #: Words, also with letters masked inside.
 WORD = re.compile(r"[^\W_]+(?:[*@$!#][^\W_]+)*")
@@ -246,7 +246,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     that differ for one id the larger does. Without rows of both kinds the model gives every text the share of toxic
     rows (0 without any)."""
     wanted = labels.where(f"{id_col} is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    wanted = wanted.orderBy(F.xxhash64("__id"), "__id").limit(MOST_LABELLED)
+    wanted = hashed_sample(wanted, ["__id"], MOST_LABELLED)
     docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
     sample = materialise(docs.join(F.broadcast(wanted), "__id"), "labelled")  # at most MOST_LABELLED rows
     # copies of one toxic text would make terms of all its rare words
