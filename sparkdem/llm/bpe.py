@@ -34,7 +34,7 @@ PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Words in the lexicon at most, and characters that are encoded at a time: bounds of memory, without effect on results.
-LEXICON_WORDS, CHARS_AT_A_TIME, WORDS_COUNTED_AT_A_TIME = 65_536, 4_000_000, 400_000
+LEXICON_WORDS, CHARS_AT_A_TIME, WORDS_COUNTED_AT_A_TIME = 65_536, 1_000_000, 150_000
 
 
 class Vocabulary:
@@ -273,14 +273,15 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches):
         vocab = vocabulary(vocab_path)
-        for batch in batches:
-            n, digests, texts = [], [], []
-            for x in batch.column(1):
-                ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                n.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(vocab.texts_of.__getitem__, ids)).encode()).hexdigest())
-                texts.append(vocab.decode(ids))
-            yield batch.column(0), n, digests, texts
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch, n, digests, texts = whole.slice(i, 500), [], [], []
+                for x in batch.column(1):
+                    ids = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
+                    n.append(len(ids))
+                    digests.append(hashlib.sha256(",".join(map(vocab.texts_of.__getitem__, ids)).encode()).hexdigest())
+                    texts.append(vocab.decode(ids))
+                yield batch.column(0), n, digests, texts
 
     return arrow_map(encoded.select("id", "ids"), run, "id long, n_tokens long, ids_sha256 string, text string")
 

@@ -55,6 +55,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches):
         for cols in fn(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
 
     return df.mapInArrow(run, out)
 

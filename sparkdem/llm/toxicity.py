@@ -34,7 +34,7 @@ MOST_ORDINARY = 20_000
 #: A term whose neighbours are ordinary words in more than this share of the rows that aren't toxic is found exactly only.
 COMMON_NEIGHBOURS = 0.002
 #: Terms that a task counts before it passes their counts on, a bound of memory.
-TERMS_AT_A_TIME = 200_000
+TERMS_AT_A_TIME = 100_000
 #: Terms of so many letters or more are also found with one edit. Words on either side of a hit that are its context.
 FUZZY_FROM, WINDOW = 5, 6
 #: Words of address, words of report, and quotation marks.
@@ -113,7 +113,7 @@ class Matcher:
 class Scanner:
     """Hits and features of texts; remembers what words are and aren't hits."""
 
-    def __init__(self, model: dict, remember: int = 300_000):
+    def __init__(self, model: dict, remember: int = 100_000):
         self.matcher, self.weights, self.remember = Matcher(model["terms"], frozenset(model["exact_only"])), model["evidence"], remember
         self.ordinary = frozenset(model["ordinary"])
         self.clean = set(self.ordinary)
