@@ -45,12 +45,24 @@ def hashed_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return few.orderBy(place, *keys).limit(n)
 
 
+#: Rows of an Arrow batch: whole texts are long, and an executor holds a batch several times on its way to a worker and back.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function from an iterator of record batches to an iterator of dicts of column arrays."""
     out = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
+    small_batches(df.sparkSession)
 
     def run(batches):
         for cols in fn(batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdem.llm import simhash
-from sparkdem.llm.common import arrow_map, hashed_sample, materialise
+from sparkdem.llm.common import arrow_map, hashed_sample, materialise, small_batches
 
 #: Words, also with letters masked inside.
 WORD = re.compile(r"[^\W_]+(?:[*@$!#][^\W_]+)*")
@@ -299,6 +299,7 @@ def keep_clean(df: DataFrame, model: dict, threshold: float = 0.3, text_col: str
     """All columns of the rows whose text scores below the threshold."""
     columns, types = df.columns, df.schema
     at, weights = columns.index(text_col), np.array(model["weights"])
+    small_batches(df.sparkSession)
 
     def run(batches):
         scanner = Scanner(model)
