@@ -13,8 +13,9 @@ from sparkdem.llm import bpe, lines, mixing, simhash, toxicity
 from sparkdem.llm.common import materialise, table
 from sparkdem.llm.registry import vocab_path
 
-#: A text is rejected at this score; passes over a source at most; words in a near-duplicate's shingle.
-TOXIC, MOST_PASSES, WORDS = 0.3, 1.25, 5
+#: A text is rejected at this score; passes over a source at most; words in a near-duplicate's shingle, and its least
+#: Jaccard similarity.
+TOXIC, MOST_PASSES, WORDS, SIMILARITY = 0.3, 1.25, 5, 0.8
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,9 @@ def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: fingerprints of five-word shingles at three bits or fewer."""
-    return simhash.keep_representatives(docs, words=WORDS)
+    """One document of each group of near-duplicates stays: fingerprints of five-word shingles at three bits or fewer,
+    or sets of these shingles at a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_representatives(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def sources_are_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ A 64-bit fingerprint is cut into two segments of 32 bits. If two fingerprints di
 the two segments differs in at most one. So each segment is indexed once as it is, and once for each of its 32 bits
 with that bit struck out. Fingerprints whose bit is 0 there meet those whose bit is 1 in an equality join; what meets
 is verified on all 64 bits inside the join. Only distinct fingerprints are indexed: copies never meet each other.
+
+Texts whose shingle sets have a Jaccard similarity of 0.8 lie about ten bits apart, where segments this long don't meet.
+Where a similarity is asked for, bands of minima of the same shingles' hashes give the further candidates, which are
+verified by the exact Jaccard similarity of the sets.
 """
 
 from __future__ import annotations
@@ -21,20 +25,36 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
-def simhash64(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the word shingles of one text; zero if it has no word."""
+#: Bands of minima, and minima in each: at a similarity of 0.8 a pair shares a band with a chance of 0.9993.
+BANDS, ROWS = 24, 6
+_random = np.random.default_rng(17)
+FACTORS, ADDENDS = (_random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 0))
+
+
+def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of one text, repeats included; none if it has no word."""
     found = WORD.findall(text.translate(UPPER))
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        h = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(found) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[i:j], seed) for i, j in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(found) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[i:j], seed) for i, j in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def simhash64(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the word shingles of one text; zero if it has no word."""
+    return simhash_of(shingle_hashes(text, words, seed))
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashed shingles; zero if there are none."""
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -89,12 +109,98 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """All columns of one row of each component: the rows whose id is its component's smallest.
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """A signed key for each band of minima of different hashes; none without hashes."""
+    if not len(distinct):
+        return []
+    with np.errstate(over="ignore"):
+        m = np.min([(distinct[i : i + 4096, None] * FACTORS + ADDENDS).min(axis=0) for i in range(0, len(distinct), 4096)], axis=0)
+    keys = [xxhash.xxh64_intdigest(m[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id, fp, s (a hash of the set of shingles), keys of its bands and the set of shingles, as hashes, of every row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                h = shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"), words)
+                d = np.unique(h)
+                s = np.array([xxhash.xxh64_intdigest(d.tobytes())], np.uint64).view(np.int64)
+                rows.append((simhash_of(h), int(s[0]), band_keys(d), d.view(np.int64)))
+            yield [batch.column(0), *([r[k] for r in rows] for k in range(4))]
+
+    schema = "id long, fp long, s long, keys array<long>, shingles array<long>"
+    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v whose sets of shingles (s, shingles) have the least Jaccard similarity, in whole numbers."""
+    p = round(100 * similarity)
+    a, b = (sets.select(F.col("s").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v").where(f"least(size(su), size(sv)) * 100 >= greatest(size(su), size(sv)) * {p}")
+    return both.where(f"{100 + p} * size(array_intersect(su, sv)) >= {p} * (size(su) + size(sv))").select("u", "v")
+
+
+def with_picks(named: DataFrame) -> DataFrame:
+    """u, v: each set (key, s, c) of a bucket and two drawn sets of it, where their components c differ."""
+    drawn = F.struct(F.xxhash64("s", F.lit(0)), "s", "c")
+    picks = named.groupBy("key").agg(F.explode(F.array(F.min(drawn), F.max(drawn))).alias("p"))
+    return named.join(picks, "key").where("c <> p.c").select(F.least("s", "p.s").alias("u"), F.greatest("s", "p.s").alias("v")).distinct()
+
+
+def all_apart(named: DataFrame) -> DataFrame:
+    """u, v: all sets of different components that share a bucket; those outside of its largest one are held against all."""
+    most = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"))
+    few = named.join(most, "key").where("c <> most.c").select("key", F.col("s").alias("o"), F.col("c").alias("co"))
+    return named.join(few, "key").where("c <> co").select(F.least("s", "o").alias("u"), F.greatest("s", "o").alias("v")).distinct()
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
+    """id, component_id for every row, as near_duplicates gives them; rows are also linked if their sets of shingles have
+    the least similarity. Each bucket of a band is held against two of its sets first, and then, if it still has several
+    components, all pairs of these are verified, so no pair of a bucket is left out."""
+    docs = materialise(sketches(df, id_col, text_col, words), "sketches")
+    prints = docs.select("fp", "s").distinct()
+    first = materialise(prints.groupBy("fp").agg(F.min("s").alias("first")), "prints")
+    equal = prints.join(first, "fp").where("s <> first").select(F.col("s").alias("u"), F.col("first").alias("v"))
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"s{x}")) for x in "uv")
+    near = links(first.select("fp"), distance).join(a, "u").join(b, "v").select(F.col("su").alias("u"), F.col("sv").alias("v"))
+    edges = materialise(equal.unionByName(near), "links")
+    labels = components(edges)
+
+    placed = docs.select(F.explode("keys").alias("key"), "s")
+    shared = placed.groupBy("key").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x < y").select("key")
+    rest = materialise(placed.join(materialise(shared, "keys"), "key", "left_semi").distinct(), "buckets")
+    wanted = rest.select("s").distinct()
+    sets = materialise(docs.select("s", "shingles").join(wanted, "s", "left_semi").dropDuplicates(["s"]), "sets")
+    for pairs_of in (with_picks, all_apart):
+        now = rest.join(labels, F.col("s") == F.col("node"), "left").select("key", "s", F.coalesce("component", "s").alias("c"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+        rest = materialise(now.join(mixed, "key", "left_semi"), "mixed")
+        edges = edges.unionByName(materialise(similar_pairs(materialise(pairs_of(rest), "pairs"), sets, similarity), "links"))
+        labels = components(edges)
+        rest = rest.drop("c")
+
+    reps = docs.groupBy("s").agg(F.min("id").alias("rep"))
+    rooted = reps.join(labels, reps.s == labels.node, "left").select("s", "rep", F.coalesce("component", "s").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("s", "component_id")
+    return docs.select("id", "s").join(named, "s", "left").select("id", "component_id")
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """All columns of one row of each component: the rows whose id is its component's smallest. With a similarity, texts
+    whose sets of shingles are so alike are of one component, too.
 
     Rows that repeat that id are reduced to one; rows with a null id are kept only where their whole component has none.
     """
-    found = near_duplicates(df, id_col, text_col, words, distance)
+    if similarity is None:
+        found = near_duplicates(df, id_col, text_col, words, distance)
+    else:
+        found = similar_texts(df, id_col, text_col, words, distance, similarity)
     keep = materialise(found.where("id is null and component_id is null or id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__n")), "kept")
     kept = df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
     return kept.dropDuplicates([id_col]) if keep.where("__n > 1").head(1) else kept
