@@ -3,7 +3,8 @@
 Terms (words, and stems that many words begin with) are learned from labelled rows. The terms' trie is intersected with
 the automata that accept what is within one edit of a term: a state is the set of (trie node, edits so far) that a
 word's letters lead to, made when first reached and kept. A word runs through it once, a letter a step; nearly all words
-reach the empty set after a few letters. What stands within a window around a hit (second person against quotation
+reach the empty set after a few letters. Words that fail are tried with two neighbouring letters swapped, and terms of four
+letters with one letter masked. What stands within a window around a hit (second person against quotation
 marks and words of report) separates abuse from quotation. A logistic model on these features gives the score.
 """
 
@@ -37,6 +38,9 @@ COMMON_NEIGHBOURS = 0.002
 TERMS_AT_A_TIME = 100_000
 #: Terms of so many letters or more are also found with one edit. Words on either side of a hit that are its context.
 FUZZY_FROM, WINDOW = 5, 6
+#: Terms of so many letters are found with one letter masked: by a sign, a digit, or a letter that looks like it.
+MASKED, SIGNS = 4, frozenset("*@$!#0123456789")
+LOOKALIKES = frozenset({("u", "v"), ("v", "u"), ("i", "l"), ("l", "i"), ("i", "j"), ("k", "c"), ("c", "k"), ("s", "z"), ("z", "s")})
 #: Words of address, words of report, and quotation marks.
 ADDRESS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre eres ti tus usted ustedes".split())
 REPORT = frozenset("said says say quote quoted wrote writes called calls word words term terms reported sagte sagt schrieb wort dit écrit mot dijo dice palabra".split())
@@ -60,6 +64,15 @@ class Matcher:
                 node = self.children[node][c]
             (self.stem_at if stem else self.word_at).setdefault(node, i)
         self.fuzzy = [not stem and len(t) >= FUZZY_FROM and t not in exact_only for t, stem in terms]
+        self.swapped: dict[str, int] = {}
+        self.masked: dict[str, list[tuple[str, int]]] = {}
+        for i, (t, stem) in enumerate(terms):
+            if self.fuzzy[i]:
+                for k in range(len(t) - 1):
+                    self.swapped.setdefault(t[:k] + t[k + 1] + t[k] + t[k + 2 :], i)
+            elif not stem and len(t) == MASKED and t not in exact_only:
+                for k in range(MASKED):
+                    self.masked.setdefault(f"{k}{t[:k]}{t[k + 1 :]}", []).append((t[k], i))
         self.sets: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.accepts: list[tuple[int, int] | None] = []
@@ -109,6 +122,17 @@ class Matcher:
             return stem, "stem"
         return (end[0], "fuzzy") if end else None
 
+    def find_disguised(self, word: str) -> tuple[int, str] | None:
+        """(term, kind) of a term with two neighbouring letters swapped, or of four letters with one of them masked."""
+        if word in self.swapped:
+            return self.swapped[word], "fuzzy"
+        if len(word) == MASKED:
+            for k, c in enumerate(word):
+                for letter, term in self.masked.get(f"{k}{word[:k]}{word[k + 1 :]}", ()):
+                    if c in SIGNS or (letter, c) in LOOKALIKES:
+                        return term, "fuzzy"
+        return None
+
 
 class Scanner:
     """Hits and features of texts; remembers what words are and aren't hits."""
@@ -124,7 +148,7 @@ class Scanner:
         low = text.lower()
         words = WORD.findall(low)
         for w in set(words) - self.clean - self.hit.keys():
-            found = self.matcher.find(w)
+            found = self.matcher.find(w) or self.matcher.find_disguised(w)
             if found:
                 self.hit[w] = found
             else:
@@ -164,7 +188,8 @@ class Scanner:
 
 
 def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
-    """(letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart. At most MOST_TERMS."""
+    """(letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart. At most MOST_TERMS, and as
+    many words that stems find too, since misspellings are those of words."""
 
     def run(batches):
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -196,8 +221,10 @@ def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
         if most[s] < 0.7 * stems[s].t and not any(s.startswith(x) for x in good_stems):
             good_stems[s] = stems[s]
     terms = [(s, True, r) for s, r in good_stems.items()] + [(w, False, r) for w, r in words.items() if not any(w.startswith(s) for s in good_stems)]
-    terms.sort(key=lambda x: (-x[2].t * x[2].w, x[0]))
-    return [(t, stem, float(r.w)) for t, stem, r in terms[:MOST_TERMS]]
+    covered = [(w, False, r) for w, r in words.items() if any(w.startswith(s) for s in good_stems)]
+    for x in (terms, covered):
+        x.sort(key=lambda x: (-x[2].t * x[2].w, x[0]))
+    return [(t, stem, float(r.w)) for t, stem, r in terms[:MOST_TERMS] + covered[:MOST_TERMS]]
 
 
 def learn_ordinary(labelled: DataFrame, model: dict) -> tuple[list[str], list[str]]:
