@@ -28,14 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+#: Session setting under which a statement's shuffle files go when it ends; what is written no longer needs them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that are broadcast at most: a few megabytes.
+BROADCAST_ROWS = 400_000
+
+
+def held(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """big joined to small, a written table of a key and at most another long: broadcast while it has at most BROADCAST_ROWS
+    rows, and shuffled beyond them."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small.hint("shuffle_hash"), on, how)
+
+
 def hashed_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """At most n rows, those whose keys have the least hash. Of a large table all but about 2 * n rows are left out
     beforehand, so what is sorted and sent stays bounded however many partitions there are."""
@@ -72,31 +92,23 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, out)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds (union-find on edges, all distributed).
 
     edges: columns u, v (long). Returns node, component for every node that has an edge to another node; component is
-    the smallest node of its component. Nulls and self-links are ignored. Each round is checkpointed.
+    the smallest node of its component. Nulls and self-links are ignored. Rounds go on until one changes nothing (about
+    the logarithm of the number of nodes); each is written, so a lost executor costs one round at most.
     """
-    shared_dir(edges.sparkSession)
-    e = (
-        edges.where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-        .checkpoint()
-    )
-    seen = None
-    for _ in range(max_rounds):
-        state = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == seen or not state[0]:
-            break
+    e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e, seen = materialise(e.distinct(), "edges"), None
+    while (state := e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()) != seen:
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -68,7 +68,7 @@ def test_each_stage_on_what_the_last_one_kept(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, end))
-    assert lines.BANDS * lines.ROWS == 32
+    assert lines.BANDS * lines.ROWS == 84
 
 
 def test_odd_rows_go_through_all_stages(spark, docs, no_docs):
