@@ -61,15 +61,21 @@ def simhash_of(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
+def named_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t (a hash of the text, which tells rows of one id apart), text."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text, F.isnull(text)).alias("t"), text.alias("text"))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """id, fp (signed long) of every row. A null text counts as an empty one, whose fingerprint is zero."""
+    """id, t (hash of the text), fp (signed long) of every row. A null text counts as an empty one, whose fingerprint is zero."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
-            yield batch.column(0), [simhash64((t.as_py() or "").encode("utf-8", "surrogatepass"), words) for t in texts]
+            texts = batch.column(2)
+            yield batch.column(0), batch.column(1), [simhash64((t.as_py() or "").encode("utf-8", "surrogatepass"), words) for t in texts]
 
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
+    return arrow_map(named_texts(df, id_col, text_col), run, "id long, t long, fp long")
 
 
 def variants(distinct: DataFrame, side: int) -> DataFrame:
@@ -93,20 +99,27 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return near.select("u", "v").distinct()
 
 
+def with_components(docs: DataFrame, mark: str, labels: DataFrame) -> DataFrame:
+    """docs (id, t, mark) with component_id and kept, by the components of their marks (node, component). The first row of a
+    component is the one of its smallest id (null last), and of that id's texts the one of the smallest hash."""
+    reps = docs.groupBy(mark).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "t")).alias("rep"))
+    rooted = reps.join(labels, reps[mark] == labels.node, "left").select(mark, "rep", F.coalesce("component", mark).alias("root"))
+    first = rooted.groupBy("root").agg(F.min("rep").alias("first"))
+    named = rooted.join(first, "root").select(mark, "first")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    return docs.join(named, mark).select("id", "t", mark, F.col("first.id").alias("component_id"), kept.alias("kept"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """id, fp, component_id for every row: component_id is the smallest id reachable over links of fingerprints.
+    """id, t, fp, component_id, kept for every row: component_id is the smallest id reachable over links of fingerprints;
+    kept is true for the component's first row, and for rows that repeat its id and text.
 
     Repeated rows and equal texts share a fingerprint and so a component. A null or empty text has the fingerprint
     zero and links like any other. A null id takes part, and gets the smallest id of its component (null if it has none).
     Columns other than the two named are not read, so their names can't clash.
     """
     docs = materialise(fingerprints(df, id_col, text_col, words), "simhash")
-    reps = docs.groupBy("fp").agg(F.min("id").alias("rep"))
-    labels = components(links(reps.select("fp"), distance))
-    rooted = reps.join(labels, reps.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp", "left").select("id", "fp", "component_id")
+    return with_components(docs, "fp", components(links(docs.select("fp").distinct(), distance)))
 
 
 def band_keys(distinct: np.ndarray) -> list[int]:
@@ -120,20 +133,20 @@ def band_keys(distinct: np.ndarray) -> list[int]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, fp, s (a hash of the set of shingles), keys of its bands and the set of shingles, as hashes, of every row."""
+    """id, t, fp, s (a hash of the set of shingles), keys of its bands and the set of shingles, as hashes, of every row."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"), words)
                 d = np.unique(h)
                 s = np.array([xxhash.xxh64_intdigest(d.tobytes())], np.uint64).view(np.int64)
                 rows.append((simhash_of(h), int(s[0]), band_keys(d), d.view(np.int64)))
-            yield [batch.column(0), *([r[k] for r in rows] for k in range(4))]
+            yield [batch.column(0), batch.column(1), *([r[k] for r in rows] for k in range(4))]
 
-    schema = "id long, fp long, s long, keys array<long>, shingles array<long>"
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    schema = "id long, t long, fp long, s long, keys array<long>, shingles array<long>"
+    return arrow_map(named_texts(df, id_col, text_col), run, schema)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -159,8 +172,8 @@ def all_apart(named: DataFrame) -> DataFrame:
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """id, component_id for every row, as near_duplicates gives them; rows are also linked if their sets of shingles have
-    the least similarity. Each bucket of a band is held against two of its sets first, and then, if it still has several
+    """id, t, s, component_id, kept for every row, as near_duplicates gives them; rows are also linked if their sets of
+    shingles have the least similarity. Each bucket of a band is held against two of its sets first, and then, if it still has several
     components, all pairs of these are verified, so no pair of a bucket is left out."""
     docs = materialise(sketches(df, id_col, text_col, words), "sketches")
     prints = docs.select("fp", "s").distinct()
@@ -184,23 +197,20 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(edges)
         rest = rest.drop("c")
 
-    reps = docs.groupBy("s").agg(F.min("id").alias("rep"))
-    rooted = reps.join(labels, reps.s == labels.node, "left").select("s", "rep", F.coalesce("component", "s").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("s", "component_id")
-    return docs.select("id", "s").join(named, "s", "left").select("id", "component_id")
+    return with_components(docs.select("id", "t", "s"), "s", labels)
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
-    """All columns of one row of each component: the rows whose id is its component's smallest. With a similarity, texts
-    whose sets of shingles are so alike are of one component, too.
-
-    Rows that repeat that id are reduced to one; rows with a null id are kept only where their whole component has none.
-    """
+    """All columns of one row of each component: the one of its smallest id (null only where all are), and of rows of that
+    id the one whose text has the smallest hash. With a similarity, texts whose sets of shingles are so alike are of one
+    component, too. Of rows that repeat both id and text one stays, whichever."""
     if similarity is None:
         found = near_duplicates(df, id_col, text_col, words, distance)
     else:
         found = similar_texts(df, id_col, text_col, words, distance, similarity)
-    keep = materialise(found.where("id is null and component_id is null or id = component_id").groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("__n")), "kept")
-    kept = df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col]) if keep.where("__n > 1").head(1) else kept
+    keep = found.where("kept").groupBy(F.col("id").alias("__keep"), F.col("t").alias("__text")).agg(F.count("*").alias("__n"))
+    keep = materialise(keep, "kept")
+    text = F.col(text_col).cast("string")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__keep")) & (F.xxhash64(text, F.isnull(text)) == F.col("__text"))
+    kept = df.join(keep, same, "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if keep.where("__n > 1").head(1) else kept

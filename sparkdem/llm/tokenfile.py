@@ -78,7 +78,7 @@ def write_tokens(df: DataFrame, folder: str, vocab_path: str, end_id: int = 0, i
     each other, in any order. An empty table gives an empty manifest.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))).alias("h"))
+    keys = docs.select(F.xxhash64("id", "text").alias("h"))
     n = keys.count()
     least = hashed_sample(keys, ["h"], SAMPLE_DOCS).select("h").distinct()
     sample = docs.join(F.broadcast(least), F.xxhash64("id", "text") == F.col("h"), "left_semi")

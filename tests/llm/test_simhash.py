@@ -63,3 +63,11 @@ def test_one_representative_of_each_component(docs, no_docs):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted(found, key=str)
     assert simhash.near_duplicates(no_docs).collect() == [] and simhash.keep_representatives(no_docs).collect() == []
     assert simhash.keep_representatives(docs.where(F.col("doc_id").isNull())).count() == 1
+
+
+def test_no_text_of_its_own_goes(spark):
+    """Rows without an id, and rows that share one, are told apart by their texts."""
+    rows = [(None, "one two three four"), (None, "five six seven eight"), (5, "a b c d"), (3, "a b c d"), (5, "k l m n o"), (7, "x y z"), (7, "u v w"), (7, "u v w")]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)))
+    want = [(3, "a b c d"), (5, "k l m n o"), (7, "u v w"), (7, "x y z"), (None, "five six seven eight"), (None, "one two three four")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)

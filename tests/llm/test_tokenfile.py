@@ -49,3 +49,11 @@ def test_a_foreign_dictionary_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         tokenfile.read_document(manifest.first().path, 1)
     assert tokenfile.train_dictionary([b"a"]) == b""
+
+
+def test_the_type_of_the_id_changes_nothing(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('the of and number ', id, ' is in the ', id * 7) as text")
+    for kind in ("int", "bigint"):
+        tokenfile.write_tokens(docs.withColumn("doc_id", docs.doc_id.cast(kind)), str(tmp_path / kind), PATH)
+    a, b = (next((tmp_path / kind).glob("*.zdict")).read_bytes() for kind in ("int", "bigint"))
+    assert a == b and a
