@@ -44,3 +44,14 @@ def test_edge_tables(spark, docs, no_docs):
     assert len(rows) == docs.count()
     empty = spark.createDataFrame([(1, 1, 0), (2, 2, None)], "key long, tie long, size long")
     assert {r.shard for r in sharding.assign_shards(empty, 4).collect()} == {0}
+
+
+def test_order_holds_in_overfull_ranges(spark, monkeypatch):
+    """400 keys under a sample so poor that ranges are subdivided, a key of many ties, and a place of many rows."""
+    monkeypatch.setattr(sharding, "DRAWS", 0.5)
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), i, 1 + rng.randrange(60)) for i in range(4000)] + [(77, i, 20) for i in range(2000)] + [(300, 5, 30)] * 1500
+    df = spark.createDataFrame(rows, "key long, tie long, size long").repartition(4)
+    got = sorted(sharding.assign_shards(df, 7, 4).collect(), key=lambda r: (r.shard, r.slot))
+    held(got, 7)
+    assert [(r.key, r.tie) for r in got] == sorted((k, t) for k, t, _ in rows)
