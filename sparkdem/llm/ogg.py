@@ -41,11 +41,11 @@ def pages_of(packets: list[tuple[bytes, int]], serial: int) -> list[tuple[int, b
     # the first packet has a page of its own, as the container asks
     first = len(packets[0][0]) // 255 + 1 if packets else 0
     groups = [lacing[:first], *(lacing[i : i + 255] for i in range(first, len(lacing), 255))]
-    reached, open_packet = 0, False
-    for number, group in enumerate(g for g in groups if g):
+    reached, open_packet, groups = 0, False, [g for g in groups if g]
+    for number, group in enumerate(groups):
         values = bytes(v for v, _ in group)
         ended = [g for _, g in group if g >= 0]
-        flags = open_packet * 1 | (number == 0) * 2 | (number == len([g for g in groups if g]) - 1) * 4
+        flags = open_packet * 1 | (number == 0) * 2 | (number == len(groups) - 1) * 4
         size = sum(values)
         head = HEADER.pack(b"OggS", 0, flags, ended[-1] if ended else -1, serial, number, 0, len(values))
         page = head + values + body[at : at + size]
@@ -118,6 +118,28 @@ def features(samples: np.ndarray, stamps: list[float]) -> str:
     return f"mean={x.mean():.6f} std={x.std():.6f} crossings={crossings} seconds={len(x) / RATE:.6f} packets={len(stamps)} gap={gap:.6f}"
 
 
+def ends_of(packets: list[tuple[bytes, int]]) -> list[int]:
+    """The granule position at the end of each packet of samples. A page tells it for the last packet that ends there; those
+    before it on the page end earlier by the samples that follow. ValueError where a page doesn't begin where the last ended."""
+    ends, at, page = [], 0, []
+    for i, (data, granule) in enumerate(packets):
+        page.append(len(data))
+        if i + 1 == len(packets) or packets[i + 1][1] != granule:
+            if granule - sum(page) != at:
+                raise ValueError(f"a page of {sum(page)} samples goes from {at} to {granule}")
+            back = granule - np.cumsum(page[::-1])[::-1]
+            ends += [*back[1:].tolist(), granule]
+            at, page = granule, []
+    return ends
+
+
+def check_notes(packets: list[tuple[bytes, int]]) -> None:
+    """ValueError where the last note of a page isn't of the second that the page's granule position names."""
+    for i, (data, granule) in enumerate(packets):
+        if (i + 1 == len(packets) or packets[i + 1][1] != granule) and data != b"second %d" % (granule // RATE):
+            raise ValueError(f"a note of {data!r} at {granule}")
+
+
 def parsed(media: bytes | None) -> tuple:
     """n_bytes, payload, streams, seconds, stamps, feature and error of one medium."""
     try:
@@ -127,12 +149,8 @@ def parsed(media: bytes | None) -> tuple:
         payload = b"".join(p for p, _ in packets[1:])
         if sign != SIGN or len(payload) != size or packets[-1][1] != size:
             raise ValueError("the samples aren't those that the head names")
-        # a page tells the granule position at the end of its last packet; packets before it end earlier by their samples
-        stamps, end = [], size
-        for p, _ in reversed(packets[1:]):
-            stamps.append(end / rate)
-            end -= len(p)
-        stamps.reverse()
+        stamps = [end / rate for end in ends_of(packets[1:])]
+        check_notes(streams[NOTES][1:])
         return n, payload, len(streams), size / rate, stamps, features(np.frombuffer(payload, np.uint8), stamps), None
     except (ValueError, KeyError, IndexError, struct.error) as e:
         return None, None, None, None, None, None, f"{type(e).__name__}: {e}"

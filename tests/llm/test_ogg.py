@@ -65,3 +65,20 @@ def test_edge_rows(docs, no_docs):
     assert len(rows) == docs.count() and all(r.error is None for r in rows)
     assert {len(r.payload) for r in rows if r.n_bytes == 0} == {64}
     assert ogg.from_media(ogg.to_media(no_docs)).collect() == []
+
+
+def test_stamps_come_from_granule_positions():
+    data = bytes(range(256)) * 800
+    whole = ogg.write_ogg(data, len(data))
+    stamps = ogg.parsed(whole)[4]
+    assert stamps == [min(i + ogg.PACKET, len(data)) / ogg.RATE for i in range(0, len(data), ogg.PACKET)]
+    pages, at = [], 0
+    while at >= 0:
+        after = whole.find(b"OggS", at + 1)
+        pages.append(whole[at : after if after >= 0 else None])
+        at = after
+    for serial in (ogg.SAMPLES, ogg.NOTES):  # a page with another granule position and a checksum that fits
+        k = max(i for i, p in enumerate(pages) if int.from_bytes(p[14:18], "little") == serial)
+        page = pages[k][:6] + (int.from_bytes(pages[k][6:14], "little") - 8000).to_bytes(8, "little") + pages[k][14:]
+        page = page[:22] + ogg.page_checksum(page[:22] + bytes(4) + page[26:]).to_bytes(4, "little") + page[26:]
+        assert ogg.parsed(b"".join(pages[:k] + [page] + pages[k + 1 :]))[6].startswith("ValueError")
