@@ -147,6 +147,7 @@ def heights4(tile_filter: str = "true") -> dict[str, str]:
 SUMMARY = "select tile_lat, tile_lon, blocknum, block_lat lat_e7, block_lon lon_e7, cast(sum(h) as bigint) sum_h, cast(min(h) as int) min_h, cast(max(h) as int) max_h from heights group by all"
 PCT = "select tile_lat, quantile_cont(case when hn <> h then abs(hn - h) end, 0.98) p, max(abs(hn - h)) most from mosaic group by all"
 F4 = "cast(255 * cast(cast(h - lo as float) / cast(hi - lo as float) as float)::double as float)"
+HREF = r"""<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""".replace("'", "''")
 ORACLES = {
     "A11_flagship_sampled_heights": sql("select tile_lat, tile_lon, max(height) max_h, cast(sum(case when height > 0 then 1 when height is not null then 0 end) as bigint) positive, count(*) total from sampled group by all", "raster", "points", **sampled("points")),
     "J3_sample_hgt": sql("select point_id, height from sampled", "raster", "points", **sampled("points")),
@@ -166,7 +167,7 @@ ORACLES = {
     "P18_altitude_rgb": sql(f"select tile_lat, row, col, case when h = 0 then 0 when lo = hi then 128 else cast(trunc({F4}) as int) end red, 0 green, case when h = 0 then 0 when lo = hi then 128 else cast(trunc(cast(255 * cast(1 - cast(cast(h - lo as float) / cast(hi - lo as float) as float)::double as float)::double as float)) as int) end blue from (select *, min(nullif(h, 0)) over (partition by tile_lat) lo, max(nullif(h, 0)) over (partition by tile_lat) hi from mosaic)", "mosaic"),
     "P19_diff_rgb": sql("select tile_lat, row, col, d diff, case when d = 0 then 0 else cast(trunc(greatest(0, r) * 255) as int) end red, case when d = 0 then 0 else cast(trunc(greatest(0, -r) * 255) as int) end blue from (select *, greatest(-1, least(1, d / case when p > 0 then p else most end::double)) r from (select *, hn - h d from mosaic) join pct using (tile_lat))", "mosaic", pct=PCT),
     "P20_hgt_spacing": sql("select distinct tile_lat, tile_lon, cast(4638 as bigint) m_25, cast(93 as bigint) m_1201, cast(31 as bigint) m_3601 from pixels", "pixels"),
-    "S3_listing": sql("select page_id, count(*) links, cast(max(pos) as int) as last, min(href) least_href, max(href) most_href from (select page_id, pos, regexp_extract(a, '<a\\s[^>]*href=\"([^\"]*)\"', 1) href from (select page_id, unnest(l) a, generate_subscripts(l, 1) - 1 pos from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>', 0, 's') l from pages)) where not contains(a, 'Parent Directory')) group by page_id"),
+    "S3_listing": sql(f"select page_id, count(*) links, cast(max(pos) as int) as last, min(href) least_href, max(href) most_href from (select page_id, pos, trim(regexp_extract(a, '(?is){HREF}', 1), chr(34) || chr(39)) href from (select page_id, unnest(l) a, generate_subscripts(l, 1) - 1 pos from (select page_id, regexp_extract_all(html, '(?is){HREF}[^>]*>.*?</a\\s*>', 0) l from pages)) where not contains(a, 'Parent Directory')) group by page_id"),
     "S4_catalogue_keys": sql("select tile_lat, tile_lon, max(filename) filename, count(*) paths from catalogue group by all", "catalogue"),
     "S5_tile_list": sql(f"select distinct list_lat tile_lat, list_lon tile_lon from (select {name_parts(STYLES['list'], 'list')} from tile_names) where list_lat is not null", "tile_names"),
     "G1_world_tiles": sql("select w.tile_lat, count(*) tiles, count(l.tile_lat) known from world w left join land l on l.tile_lat = w.tile_lat and l.tile_lon = w.tile_lon group by all", "world", "land"),
@@ -190,7 +191,7 @@ ORACLES = {
     "J9_height_changes": sql("select tile_lat, tile_lon, cast(count(*) as bigint) points, count(*) filter (new <> old) changed, cast(count(*) filter (fixed) as bigint) zero_to_positive, coalesce(max(new) filter (fixed), 0) max_altitude, coalesce(max(new) filter (fixed and lone), max(new) filter (fixed), 0) report_altitude, coalesce(min(blocknum * 896 + i) filter (fixed and lone and new = bl), min(blocknum * 896 + i) filter (fixed and bl is null and new = ba), 0) report_idx from (select *, max(case when fixed and lone then new end) over (partition by tile_lat) bl, max(case when fixed then new end) over (partition by tile_lat) ba from (select *, old = 0 and new > 0 fixed, i // 28 between 1 and 30 and i % 28 between 1 and 26 and l = 0 and r = 0 and u = 0 and d = 0 lone from (select *, lag(old) over b l, lead(old) over b r, lag(old, 28) over b u, lead(old, 28) over b d from cells window b as (partition by blocknum order by i)))) group by all", "cells"),
     "J10_diff_mosaics": sql("select tile_lat, cast(count(*) filter (d <> 0) as bigint) changed, min(d) least, max(d) most, count(*) cells from (select m.tile_lat, hn - coalesce(b.h, 0) d from mosaic m left join (select tile_lat, (blocknum % 4 // 2) * 24 + i // 32 as row, (blocknum % 2) * 28 + i % 32 as col, arg_max(old, blocknum) h from cells where blocknum % 3 > 0 group by all) b on b.tile_lat = m.tile_lat and b.row = m.row and b.col = m.col) group by all", "mosaic"),
     "J11_cover_requests": sql("select *, abs(tile_lat) > 84 outside from cover", "cover"),
-    "J12_resolve_requests": sql("select request_id, count(*) tiles, case when bool_and(l.tile_lat is not null) then 'ok' else 'Cannot generate terrain' end status from cover c left join land l on l.tile_lat = c.tile_lat and l.tile_lon = c.tile_lon where abs(c.tile_lat) <= 84 group by all", "cover", "land"),
+    "J12_resolve_requests": sql("select request_id, count(*) filter (abs(c.tile_lat) <= 84) tiles, count(*) filter (abs(c.tile_lat) > 84) outside, case when bool_and(l.tile_lat is not null or abs(c.tile_lat) > 84) then 'ok' else 'Cannot generate terrain' end status from cover c left join land l on l.tile_lat = c.tile_lat and l.tile_lon = c.tile_lon group by all", "cover", "land"),
     "A1_tiles_by_continent": sql("select continent, cast(count(*) as int) n, md5(string_agg(replace(filename, '.hgt.zip', '.DAT.gz'), ',' order by filename)) digest from catalogue where continent not in ('', 'USGS') group by all", "catalogue"),
     "A2_steep_hgt": sql(f"select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, max(d) max_diff, round(tile_lat + 1.0::double - arg_max(24 - y, o) filter (d is not null) / 24::double, 9) max_lat, round(tile_lon + arg_max(x, o) filter (d is not null) / 24::double, 9) max_lon from (select *, case when d is not null then d * 10000 + case when kind = 'h' then 5000 else 0 end - ((24 - y) * 25 + x) end o from (select tile_lat, tile_lon, y, x, 'h' kind, abs(lead(v) over (partition by tile_lat, tile_lon, y order by x) - v) d from r union all select tile_lat, tile_lon, y, x, 'v', case when lead(y) over w = y - 1 then abs(lead(v) over w - v) end from r window w as (partition by tile_lat, tile_lon, x order by y desc))) group by tile_lat, tile_lon", "raster", r=f"select *, nullif(h, {VOID}) v from raster"),
     "A3_steep_blocks": sql("select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, max(d) max_diff, arg_max(blocknum, o) filter (d is not null) blocknum, cast(arg_max(i // 32, o) filter (d is not null) as bigint) gx, cast(arg_max(i % 32, o) filter (d is not null) as bigint) gy from (select *, case when d is not null then d::hugeint * 10000000000 - blocknum * 10000 + case when kind = 'h' then 5000 else 0 end - i end o from (select *, 'h' kind, case when i % 32 < 31 then abs(lead(old) over b - old) end d from cells window b as (partition by blocknum order by i) union all select *, 'v', abs(lead(old, 32) over b - old) from cells window b as (partition by blocknum order by i))) group by all", "cells"),

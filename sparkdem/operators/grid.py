@@ -15,6 +15,8 @@ from sparkdem.functions.codec import encode_blocks, interpolate_tile
 from sparkdem.functions.geo import COLS, E7_PER_M, FULL_BITMAP, ROWS, STEP_E, STEP_N
 
 TILE = ["tile_lat", "tile_lon"]
+#: From the step of blocks to their length, north and east.
+STEP = {STEP_N: ROWS, STEP_E: COLS}
 
 
 def world_tiles(spark: SparkSession, lat_min: int, lat_max: int) -> DataFrame:
@@ -66,15 +68,25 @@ def grid_points(blocks: DataFrame, spacing: int) -> DataFrame:
     return out.withColumn("p", p).select(*TILE, "blocknum", "gx", "gy", "p.lat_e7", "p.lon_e7")
 
 
-def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int) -> DataFrame:
+def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int, on_bad_tile: str = "ocean") -> DataFrame:
     """Blocks with heights of each tile of `tiles`, from raster rows (tile_lat, tile_lon, size, y, h).
 
     The one large shuffle sends each raster row to the tiles that read it: its own tile takes all rows, the tiles to the
-    south only those within reach of their last block. A group is one tile and the strips beside it.
+    south only those within reach of their last block, and the tiles to the west only the columns within reach. A group
+    is one tile and the strips beside it. A raster that couldn't be read (a row with a null y) is ocean, or with "skip" its
+    tile isn't generated.
     """
+    if on_bad_tile not in ("ocean", "skip"):
+        raise ValueError("a bad tile is ocean, or skipped")
+    if on_bad_tile == "skip":
+        tiles = pending(tiles, hgt_row.where("y is null and tile_lat is not null"))
     reach = (ROWS + STEP_N) * spacing * E7_PER_M * 1e-7
-    rows = consumers(hgt_row.select(*TILE, "size", "y", "h"))
+    rows = consumers(hgt_row.where("y is not null").select(*TILE, "size", "y", "h"))
     rows = rows.where((F.col("for_lat") == F.col("tile_lat")) | (F.col("y") <= F.ceil(reach * (F.col("size") - 1)) + 1))
+    # a degree of longitude is shortest at the tile's side away from the equator
+    narrow = F.greatest(F.cos(F.radians(F.greatest(F.abs("for_lat"), F.abs(F.col("for_lat") + 1)) + 1.0)), F.lit(0.01))
+    east = F.ceil((COLS + STEP_E) * spacing * E7_PER_M * 1e-7 / narrow * (F.col("size") - 1)).cast("int") + 2
+    rows = rows.withColumn("h", F.when(F.col("for_lon") == F.col("tile_lon"), F.col("h")).otherwise(F.slice("h", F.lit(1), F.least(F.col("size"), east))))
     blocks = enumerate_blocks(tiles.select(*TILE), spacing).groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7"))).alias("blocks"))
     a = rows.withColumnsRenamed({"tile_lat": "src_lat", "tile_lon": "src_lon"}).groupBy("for_lat", "for_lon")
 
@@ -86,7 +98,7 @@ def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int) -> DataF
                 size = int(part["size"].iloc[0])
                 full = np.full((int(part["y"].max()) + 1, size), geo.VOID, np.int16)
                 for y, h in zip(part["y"], part["h"]):
-                    full[y] = h
+                    full[y, : len(h)] = h
                 rasters[(int(key[0]), int(key[1]))] = full
             b = pd.DataFrame([{k: x[k] for k in ("blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7")} for x in r.blocks])
             heights = interpolate_tile(rasters, int(r.tile_lat), int(r.tile_lon), b["grid_idx_x"].to_numpy(), b["grid_idx_y"].to_numpy(), spacing)
@@ -150,10 +162,28 @@ def mean_pool(pixels: DataFrame, step: int = 3) -> DataFrame:
 
 
 def mosaic(cells: DataFrame) -> DataFrame:
-    """row, col, h from block heights (tile, grid_idx_x, grid_idx_y, blocknum, heights); overlaps go to the last block."""
-    out = cells.select(*TILE, "grid_idx_x", "grid_idx_y", "blocknum", F.posexplode("heights").alias("i", "h"))
-    row, col = F.col("grid_idx_x") * STEP_N + F.floor(F.col("i") / COLS), F.col("grid_idx_y") * STEP_E + F.col("i") % COLS
-    return out.groupBy(*TILE, row.alias("row"), col.alias("col")).agg(F.max_by("h", "blocknum").alias("h"))
+    """row, col, h from block heights (tile, grid_idx_x, grid_idx_y, blocknum, heights); overlaps go to the last block.
+
+    Only the four rows and columns at a block's sides are another block's, too. So each block learns the last numbers
+    around it from a shuffle of keys, and drops what isn't its own inside its array: no cell is shuffled.
+    """
+    place = [*TILE, "grid_idx_x", "grid_idx_y"]
+    last = cells.groupBy(*place).agg(F.max("blocknum").alias("last"))
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    sent = last.select(*TILE, "last", "grid_idx_x", "grid_idx_y", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps))).alias("s"))
+    # what lies at (a, b) from a block is sent to it by that one
+    sent = sent.select(*TILE, (F.col("grid_idx_x") - F.col("s.a")).alias("grid_idx_x"), (F.col("grid_idx_y") - F.col("s.b")).alias("grid_idx_y"), "s", F.struct(F.col("last").alias("num"), F.col("grid_idx_x").alias("at_x"), F.col("grid_idx_y").alias("at_y")).alias("n"))
+    around = sent.groupBy(*place).agg(*(F.max(F.when((F.col("s.a") == a) & (F.col("s.b") == b), F.col("n"))).alias(f"n{i}") for i, (a, b) in enumerate(steps)))
+    one = cells.groupBy(*place).agg(F.max_by("heights", "blocknum").alias("heights"), F.max("blocknum").alias("blocknum"))
+    out = one.join(around, place).select(*place, F.struct(F.col("blocknum").alias("num"), F.col("grid_idx_x").alias("at_x"), F.col("grid_idx_y").alias("at_y")).alias("own"), *(f"n{i}" for i in range(9)), F.posexplode("heights").alias("i", "h"))
+    r, c = F.floor(F.col("i") / COLS), F.col("i") % COLS
+    over = {-1: lambda x, step: x < STEP[step] - step, 0: lambda x, step: F.lit(True), 1: lambda x, step: x >= step}
+    mine = F.lit(True)
+    for i, (a, b) in enumerate(steps):
+        if a or b:
+            covers = over[a](r, STEP_N) & over[b](c, STEP_E)
+            mine = mine & ~(covers & F.coalesce(F.col(f"n{i}") > F.col("own"), F.lit(False)))
+    return out.where(mine).select(*TILE, (F.col("grid_idx_x") * STEP_N + r).alias("row"), (F.col("grid_idx_y") * STEP_E + c).alias("col"), "h")
 
 
 def resample_nearest(cells: DataFrame, old: float, new: float) -> DataFrame:

@@ -44,11 +44,12 @@ def cover_requests(requests: DataFrame) -> DataFrame:
 
 
 def resolve_requests(cover: DataFrame, store: DataFrame) -> DataFrame:
-    """Per request: its tiles, those outside, and ok or why it can't be served. store has at most one row a degree."""
+    """Per request: its tiles, those outside, and ok or why it can't be served. A request whose tiles all lie outside is ok
+    and has none. store has at most one row a degree."""
     have = F.broadcast(store.select("tile_lat", "tile_lon").distinct().withColumn("have", F.lit(True)))
-    j = cover.where("not outside").join(have, ["tile_lat", "tile_lon"], "left")
-    out = j.groupBy("request_id").agg(F.count("*").alias("tiles"), F.bool_and(F.coalesce("have", F.lit(False))).alias("all"))
-    return out.select("request_id", "tiles", F.when(F.col("all"), "ok").otherwise("Cannot generate terrain").alias("status"))
+    j = cover.join(have, ["tile_lat", "tile_lon"], "left").withColumn("served", F.col("outside") | F.coalesce("have", F.lit(False)))
+    out = j.groupBy("request_id").agg(F.count_if(~F.col("outside")).alias("tiles"), F.count_if("outside").alias("outside"), F.bool_and("served").alias("all"))
+    return out.select("request_id", "tiles", "outside", F.when(F.col("all"), "ok").otherwise("Cannot generate terrain").alias("status"))
 
 
 def distinct_tiles(cover: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkdem.functions import geo
@@ -11,33 +11,46 @@ from sparkdem.functions.geo import COLS, ROWS, STEP_E, STEP_N
 TILE = ["tile_lat", "tile_lon"]
 
 
+#: Keys in demand that are broadcast at most.
+MOST_KEYS = 200_000
+
+
+def demanded(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of table whose keys are asked for. Up to MOST_KEYS keys are broadcast, so the table isn't shuffled; beyond
+    them both sides are, and arrays move only with keys that are asked for from there on."""
+    wanted = keys.select(*on).distinct()
+    few = wanted.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return table.join(F.broadcast(wanted) if few else wanted, on, "left_semi")
+
+
 def sample_hgt(points: DataFrame, hgt_row: DataFrame) -> DataFrame:
     """points (lat_e7, lon_e7 and others) with h: the height in the tile they fall in, truncated.
 
-    Voids count as -1. A tile that isn't there is ocean (0); a raster row that isn't there gives null. Each raster row
-    carries the one to its north, so that a point needs one row: a single equality join on (tile, y).
+    Voids count as -1. A tile that isn't there is ocean (0); a raster row that isn't there gives null. Raster rows that
+    no point asks for are left out before arrays move; a point takes two heights of its row, then two of the next one.
     """
-    above = Window.partitionBy(*TILE).orderBy("y")
-    pairs = hgt_row.select(*TILE, "size", "y", "h", F.when(F.lead("y").over(above) == F.col("y") + 1, F.lead("h").over(above)).alias("up"))
     tiles = hgt_row.groupBy(*TILE).agg(F.max("size").alias("tile_size"))
     p = points.withColumns({"lat": F.col("lat_e7") * 1e-7, "lon": F.col("lon_e7") * 1e-7})
     p = p.withColumns({"tile_lat": F.floor("lat").cast("int"), "tile_lon": F.floor("lon").cast("int")})
     p = p.join(F.broadcast(tiles), TILE, "left")  # a row a tile: at most 64,800
     cy, cx = (F.col("lat") - F.col("tile_lat")) * (F.col("tile_size") - 1), (F.col("lon") - F.col("tile_lon")) * (F.col("tile_size") - 1)
     p = p.withColumns({"cy": cy, "cx": cx, "y": cy.cast("int"), "x": cx.cast("int")})
-    j = p.join(pairs.drop("size"), [*TILE, "y"], "left")
-    at = lambda c, i: geo.void_to(F.get(c, F.col("x") + i), -1).cast("double")
-    h = geo.bilinear(at("h", 0), at("h", 1), at("up", 0), at("up", 1), F.col("cx") - F.col("x"), F.col("cy") - F.col("y"))
-    whole = F.when(F.col("up").isNotNull(), geo.truncated(h))
-    return j.select(*points.columns, F.when(F.col("tile_size").isNull(), F.lit(0).cast("bigint")).otherwise(whole).alias("height"))
+    asked = p.where("y is not null").select(*TILE, F.explode(F.array(F.col("y"), F.col("y") + 1)).alias("y"))
+    rows = demanded(hgt_row.select(*TILE, "y", "h"), asked, [*TILE, "y"])
+    at = lambda i: geo.void_to(F.get("h", F.col("x") + i), -1).cast("double")
+    low = p.join(rows, [*TILE, "y"], "left").withColumns({"h00": at(0), "h01": at(1), "y": F.col("y") + 1}).drop("h")
+    both = low.join(rows, [*TILE, "y"], "left").withColumns({"h10": at(0), "h11": at(1), "there": F.col("h").isNotNull()}).drop("h")
+    h = geo.bilinear(*(F.col(c) for c in ("h00", "h01", "h10", "h11")), F.col("cx") - F.col("x"), F.col("cy") - (F.col("y") - 1))
+    whole = F.when(F.col("there"), geo.truncated(h))
+    return both.select(*points.columns, F.when(F.col("tile_size").isNull(), F.lit(0).cast("bigint")).otherwise(whole).alias("height"))
 
 
 def sample_blocks(points: DataFrame, blocks: DataFrame, spacing: int, fmt: str = "4.1") -> DataFrame:
     """points with h (double): bilinear in the grid block they fall in, north first; null where it isn't there.
 
     blocks: tile_lat, tile_lon, blocknum, grid_idx_x, grid_idx_y, heights (28 * 32). Of blocks of one place the last counts.
+    Blocks that no point asks for are left out before heights move.
     """
-    one = blocks.groupBy(*TILE, "grid_idx_x", "grid_idx_y").agg(F.max_by("heights", "blocknum").alias("heights"))
     p = points.withColumns({"tile_lat": F.floor(F.col("lat_e7") * 1e-7).cast("int"), "tile_lon": F.floor(F.col("lon_e7") * 1e-7).cast("int")})
     off = geo.distance_ne(F.col("tile_lat") * F.lit(10_000_000), F.col("tile_lon") * F.lit(10_000_000), "lat_e7", "lon_e7", fmt)
     p = p.withColumn("off", off)
@@ -45,7 +58,9 @@ def sample_blocks(points: DataFrame, blocks: DataFrame, spacing: int, fmt: str =
     p = p.withColumns({"grid_idx_x": F.floor(F.col("ix") / STEP_N), "grid_idx_y": F.floor(F.col("iy") / STEP_E)})
     p = p.withColumns({"lx": (F.col("ix") - F.col("grid_idx_x") * STEP_N).cast("int"), "ly": (F.col("iy") - F.col("grid_idx_y") * STEP_E).cast("int")})
     p = p.withColumns({"fx": (F.col("off.north") - F.col("ix") * spacing) / spacing, "fy": (F.col("off.east") - F.col("iy") * spacing) / spacing})
-    j = p.join(one, [*TILE, "grid_idx_x", "grid_idx_y"], "left")
+    place = [*TILE, "grid_idx_x", "grid_idx_y"]
+    one = demanded(blocks, p, place).groupBy(*place).agg(F.max_by("heights", "blocknum").alias("heights"))
+    j = p.join(one, place, "left")
     at = lambda a, b: F.get("heights", (F.col("lx") + a) * COLS + F.col("ly") + b).cast("double")
     west = (1 - F.col("fx")) * at(0, 0) + F.col("fx") * at(1, 0)
     east = (1 - F.col("fx")) * at(0, 1) + F.col("fx") * at(1, 1)

@@ -138,11 +138,21 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartition("tile_lat", "tile_lon").sortWithinPartitions("tile_lat", "tile_lon", "blocknum").write.partitionBy("spacing").parquet(path)
 
 
+#: An anchor with a link: tag and attribute in any case; the value in either kind of quotes, or in none.
+HREF = r"""<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
 def listing_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """id, pos, href of each link in order, but for those to the parent folder."""
-    anchors = F.regexp_extract_all(F.col(html_col), F.lit(r'(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    anchors = F.regexp_extract_all(F.col(html_col), F.lit(f"(?is){HREF}[^>]*>.*?</a\\s*>"), F.lit(0))
     found = pages.select(id_col, F.posexplode(anchors).alias("pos", "a")).where(~F.col("a").contains("Parent Directory"))
-    return found.select(id_col, "pos", F.regexp_extract("a", r'<a\s[^>]*href="([^"]*)"', 1).alias("href"))
+    value = F.regexp_extract("a", f"(?is){HREF}", 1)
+    return found.select(id_col, "pos", F.regexp_replace(value, "^[\"']|[\"']$", "").alias("href"))
+
+
+def listing_folders(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """id, pos, href of the folders of a nested listing: links that begin with a letter, but for README."""
+    return listing_links(pages, id_col, html_col).where(F.col("href").rlike("^[A-Za-z]") & ~F.col("href").startswith("README"))
 
 
 def listing_to_catalogue(pages: DataFrame, id_col: str, html_col: str, continent: str = "/") -> DataFrame:

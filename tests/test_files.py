@@ -5,6 +5,7 @@ import io
 import struct
 import uuid
 import zipfile
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -190,3 +191,71 @@ def test_offsets_come_back(lat, north, east):
     scale = codec.scale_of(np.array([(lat * 1e7 + dlat * 0.5) * 1e-7]))[0]
     dlon = int(east * geo.E7_PER_M / scale)
     assert abs(dlat * geo.M_PER_E7 - north) < 0.02 and abs(dlon * scale * geo.M_PER_E7 - east) < 0.02
+
+
+class Anchors(HTMLParser):
+    """Links with their texts, as an HTML parser reads them."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.found.append([dict(attrs)["href"], ""])
+
+    def handle_data(self, data):
+        if self.found:
+            self.found[-1][1] += data
+
+
+def test_links_of_any_case_and_quotes(spark):
+    pages = [
+        (1, "<A HREF=\"N45E007.hgt.zip\">one</A> <a class='x' href='S01W002.hgt.zip'\n title=\"y\">two</a>"),
+        (2, "<a data-href=\"no\" href=Eurasia/>Eurasia</a><a href=\"../\">Parent Directory</a><a href='README'>r</a><a name=x>none</a><a href=\"?C=N\">s</a>"),
+        (3, None),
+    ]
+    df = spark.createDataFrame(pages, "id long, html string")
+    want = []
+    for i, html in pages:
+        parser = Anchors()
+        parser.feed(html or "")
+        want += [(i, h) for h, t in parser.found if "Parent Directory" not in t]
+    got = [(r.id, r.href) for r in files.listing_links(df, "id", "html").orderBy("id", "pos").collect()]
+    assert got == want and len(want) == 5
+    assert [r.href for r in files.listing_folders(df, "id", "html").orderBy("id", "pos").collect()] == ["N45E007.hgt.zip", "S01W002.hgt.zip", "Eurasia/"]
+    found = files.listing_to_catalogue(df, "id", "html", "Eurasia").collect()
+    assert sorted((r.tile_lat, r.tile_lon, r.continent, r.filename) for r in found) == [(-1, -2, "Eurasia", "S01W002.hgt.zip"), (45, 7, "Eurasia", "N45E007.hgt.zip")]
+
+
+def test_requests_outside_stay(spark):
+    cover = spark.createDataFrame([(1, 85, 0, True), (1, 86, 0, True), (2, 84, 0, False), (2, 85, 0, True), (3, 10, 0, False), (3, 11, 0, False)], "request_id long, tile_lat int, tile_lon int, outside boolean")
+    store = spark.createDataFrame([(84, 0), (10, 0)], "tile_lat int, tile_lon int")
+    got = {tuple(r) for r in requests.resolve_requests(cover, store).collect()}
+    assert got == {(1, 0, 2, "ok"), (2, 1, 1, "ok"), (3, 2, 0, "Cannot generate terrain")}
+
+
+def test_bad_rasters_beside_good_ones(spark):
+    """An error row doesn't stop the job: the raster is ocean, or its tile is skipped."""
+    rows = [(45, 7, 25, y, [100] * 25) for y in range(25)] + [(45, 8, None, None, None), (None, None, None, None, None)]
+    rasters = spark.createDataFrame(rows, "tile_lat int, tile_lon int, size int, y int, h array<smallint>")
+    tiles = spark.createDataFrame([(45, 7), (45, 8)], "tile_lat int, tile_lon int")
+    ocean = {(r.tile_lon, r.blocknum): r.heights for r in grid.generate_blocks(rasters, tiles, 3000).collect()}
+    skipped = {(r.tile_lon, r.blocknum): r.heights for r in grid.generate_blocks(rasters, tiles, 3000, "skip").collect()}
+    assert {k[0] for k in ocean} == {7, 8} and {k[0] for k in skipped} == {7}
+    assert all(ocean[k] == v for k, v in skipped.items()) and all(set(v) == {0} for k, v in ocean.items() if k[0] == 8) and ocean[7, 0][0] == 100
+
+
+def test_no_exchange_of_the_raster_and_of_cells(spark, tmp_path):
+    """Few points: the raster table is filtered where it is read. A mosaic: no shuffle stands above the cells' explosion."""
+    rasters = spark.range(500).selectExpr("cast(id div 25 as int) tile_lat", "0 tile_lon", "25 size", "cast(id % 25 as int) y", "transform(sequence(0, 24), i -> cast(id + i as smallint)) h")
+    rasters.write.parquet(str(tmp_path / "r"))
+    points = spark.createDataFrame([(1, 15_000_000, 4_000_000), (2, 250_000_000, 1)], "id long, lat_e7 long, lon_e7 long")
+    out = sampling.sample_hgt(points, spark.read.parquet(str(tmp_path / "r")))
+    assert {r.id: r.height for r in out.collect()} == {1: int(25 + 12 + 9.6), 2: 0}
+    blocks = spark.range(4).selectExpr("0 tile_lat", "0 tile_lon", "id blocknum", "id div 2 grid_idx_x", "id % 2 grid_idx_y", "array_repeat(cast(id as smallint), 896) heights")
+    cells = grid.mosaic(blocks)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Aggregate")
+    got = {(r.row, r.col): r.h for r in cells.collect()}
+    assert len(got) == 52 * 60 and all(h == (row >= 24) * 2 + (col >= 28) for (row, col), h in got.items())
