@@ -35,6 +35,8 @@ LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Words in the lexicon at most, and characters that are encoded at a time: bounds of memory, without effect on results.
 LEXICON_WORDS, CHARS_AT_A_TIME, WORDS_COUNTED_AT_A_TIME = 65_536, 1_000_000, 150_000
+#: Longer words are merged, never listed, so the lexicon is bounded in bytes, too.
+WORD_BYTES = 64
 
 
 class Vocabulary:
@@ -58,7 +60,7 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """Pretokens, in order; a special token's string is one of its own."""
-        if self.splitter and "<" in text and (parts := self.splitter.split(text))[1:]:
+        if any(t in text for t in self.special) and (parts := self.splitter.split(text))[1:]:
             return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self._words(p))]
         return self._words(text)
 
@@ -235,7 +237,7 @@ def build_lexicon(df: DataFrame, vocab_path: str, text_col: str = "text", size:
     that occur once aren't worth an entry. A lexicon of no words is valid.
     """
     scale = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(F.col("n").cast("string")) - 2)).cast("long")
-    counts = materialise(count_words(df, vocab_path, text_col).where("n > 1").withColumn("level", F.expr("n div 1") - F.col("n") % scale), "words")
+    counts = materialise(count_words(df, vocab_path, text_col).where(f"n > 1 and octet_length(word) <= {WORD_BYTES}").withColumn("level", F.expr("n div 1") - F.col("n") % scale), "words")
     least, held = None, 0
     for level, words in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 90 classes a digit
         if held + words > size:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkdem.llm.common import materialise
 
-#: Rows in a block, on average, and passes over one source at most.
-ROWS_PER_BLOCK = 20_000
+#: Rows in a block, on average: a block is permuted by one task, so a source of any share of all rows is many tasks' work.
+ROWS_PER_BLOCK = 2_000
+#: The plan is made on the driver, with a row for each source: beyond so many it is an error, not a large broadcast.
+MOST_SOURCES = 100_000
 
 
 def tempered(tokens: dict, a: float) -> dict:
@@ -68,8 +70,11 @@ def bisect_exponent(tokens: dict, target_entropy: float | None = None, max_repea
 
 
 def source_tokens(df: DataFrame, tokens_col: str, source_col: str = "source") -> dict:
-    """Tokens of each source (null is one). The driver gets a row for each source: a small, fixed list."""
-    rows = df.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(F.greatest(F.lit(0), F.coalesce(tokens_col, F.lit(0)))).alias("n")).collect()
+    """Tokens of each source (null is one). The driver gets a row for each source, at most MOST_SOURCES; ValueError beyond."""
+    sums = df.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(F.greatest(F.lit(0), F.coalesce(tokens_col, F.lit(0)))).alias("n"))
+    rows = sums.limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: {source_col} doesn't name sources to be weighed")
     return {r.s: int(r.n) for r in rows}
 
 

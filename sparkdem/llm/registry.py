@@ -110,4 +110,21 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
-ORACLES: dict[str, str] = {}
+#: Lengths count code points; a block begins where the role changes.
+CHAT_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed as (
+  select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as begins,
+    length(replace(replace(text, '\', '\\'), '<|', '<\|')) as text_chars, length(replace(replace(role, '\', '\\'), '<|', '<\|')) as role_chars
+  from said
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(text_chars + case when begins then role_chars + length('<|start|><|text|><|end|>') + 1 else length('<|sep|>') end) as bigint) as formatted_chars
+from placed group by conv_id
+"""
+ORACLES: dict[str, str] = {"op10_chat": CHAT_SQL}

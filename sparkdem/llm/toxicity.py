@@ -53,6 +53,7 @@ class Matcher:
 
     def __init__(self, terms: list[tuple[str, bool]], exact_only: frozenset = frozenset()):
         self.children: list[dict[str, int]] = [{}]
+        self.letters = frozenset(c for t, _ in terms for c in t)
         self.word_at: dict[int, int] = {}
         self.stem_at: dict[int, int] = {}
         for i, (t, stem) in enumerate(terms):
@@ -109,6 +110,7 @@ class Matcher:
         """(term, kind) of the best match: exact, then stem, then fuzzy."""
         at, stem = self.start, None
         for c in word:
+            c = c if c in self.letters else ""  # all letters that no term has lead the same way
             to = self.moves.get((at, c))
             at = self.move(at, c) if to is None else to
             if at == self.dead:
@@ -243,10 +245,10 @@ def learn_ordinary(labelled: DataFrame, model: dict) -> tuple[list[str], list[st
     n = arrow_map(labelled.select("text", F.col("toxic") == 1), run, "word string, term int, toxic boolean, n long")
     n = n.groupBy("word", "term").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c"))
     bad, good = (x or 0 for x in labelled.agg(F.sum(F.expr("int(toxic = 1)")), F.sum(F.expr("int(toxic <> 1)"))).first())
-    usual = n.where((F.col("c") > 0) & (F.col("t") / max(1, bad) < LIFT * F.col("c") / max(1, good))).cache()
+    usual = n.where((F.col("c") > 0) & (F.col("t") / max(1, bad) < LIFT * F.col("c") / max(1, good)))
+    usual = materialise(usual, "usual")
     words = usual.orderBy(F.desc("c"), "word").limit(MOST_ORDINARY).collect()
     many = usual.groupBy("term").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON_NEIGHBOURS * good).collect()
-    usual.unpersist()
     return [r.word for r in words], [model["terms"][r.term][0] for r in many]
 
 

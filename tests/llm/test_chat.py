@@ -48,3 +48,15 @@ def test_query(spark):
         loss = "".join(t for role, t in want if role == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(want), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_query_against_sql(spark):
+    """The same rows, ids and sums by SQL, formatted lengths included."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    want = con.sql(registry.ORACLES["op10_chat"])
+    got = registry.op10_chat(spark, "/root/testdata/sf0.01")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
