@@ -239,10 +239,8 @@ def J4_pending(spark, d):
 def J5_resume_blocks(spark, d):
     """Blocks of which the store holds no valid one: those with a reason, or that aren't there."""
     h = fx.block_headers(spark, d)
-    stored = audit.check_blocks(h, 100).where("reason is null").select("tile_lat", "tile_lon", "blocknum", F.col("lat_e7").alias("stored_lat"))
     work = h.select("tile_lat", "tile_lon", "blocknum", ((F.floor(F.col("tile_lat")) * 100 + F.col("blocknum")) * 100_000 + F.col("blocknum") % 5).alias("lat_e7"))
-    near = (work.tile_lat == stored.tile_lat) & (work.tile_lon == stored.tile_lon) & (work.blocknum == stored.blocknum) & (F.abs(F.col("lat_e7") - F.col("stored_lat")) <= 2)
-    return work.join(stored, near, "left_anti")
+    return audit.resume_blocks(work, h, 100)
 
 
 @query

@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdem.functions.codec import crc16_xmodem, differing_bytes
-from sparkdem.functions.geo import COLS, DATA_BYTES, FULL_BITMAP, ROWS, STEP_E, STEP_N, VOID
+from sparkdem.functions.geo import BLOCK_BYTES, COLS, DATA_BYTES, FULL_BITMAP, ROWS, STEP_E, STEP_N, VOID
+from sparkdem.operators.grid import resample_nearest
 
 TILE = ["tile_lat", "tile_lon"]
 
 
-def zero_mix(blocks: DataFrame) -> DataFrame:
-    """Per tile: zeros, heights in all, and whether it holds both zeros and others. blocks: tile keys, heights."""
+def zero_mix(blocks: DataFrame, times: DataFrame | None = None, cutoff: str = "2026-01-12") -> DataFrame:
+    """Per tile: zeros, heights in all, and whether it is affected: it holds both zeros and others. blocks: tile keys, heights.
+
+    With times (tile keys and mtime, at most a row a degree), files written after the cutoff, or without a time, aren't affected.
+    """
     zeros = F.size(F.filter("heights", lambda h: h == 0))
     out = blocks.groupBy(*TILE).agg(F.sum(zeros).alias("zeros"), F.sum(F.size("heights")).alias("total"))
-    return out.withColumn("affected", (F.col("zeros") > 0) & (F.col("zeros") < F.col("total")))
+    mixed = (F.col("zeros") > 0) & (F.col("zeros") < F.col("total"))
+    if times is None:
+        return out.withColumn("affected", mixed)
+    old = F.coalesce(F.col("mtime") <= F.lit(cutoff).cast("timestamp"), F.lit(False))
+    out = out.join(F.broadcast(times.groupBy(*TILE).agg(F.max("mtime").alias("mtime"))), TILE, "left")
+    return out.withColumn("affected", mixed & old).drop("mtime")
 
 
 def block_height_stats(blocks: DataFrame) -> DataFrame:
@@ -24,9 +33,12 @@ def block_height_stats(blocks: DataFrame) -> DataFrame:
 
 
 def version_minor_audit(blocks: DataFrame) -> DataFrame:
-    """Per tile: its distinct version_minor among valid blocks, and single, mixed or no valid blocks."""
-    out = blocks.groupBy(*TILE).agg(F.sort_array(F.collect_set(F.when(F.col("version") == 1, F.col("version_minor")))).alias("versions"))
-    state = F.when(F.size("versions") == 0, "no valid blocks").when(F.size("versions") == 1, "single").otherwise("mixed")
+    """Per tile: its distinct version_minor among valid blocks, and single, mixed, no valid blocks or, where blocks have
+    file_bytes, bad file size (the last block may be as short as its data)."""
+    odd = F.col("file_bytes") % BLOCK_BYTES if "file_bytes" in blocks.columns else F.lit(0)
+    bad = F.bool_or(~F.coalesce(odd.isin(0, DATA_BYTES), F.lit(True))).alias("bad")
+    out = blocks.groupBy(*TILE).agg(F.sort_array(F.collect_set(F.when(F.col("version") == 1, F.col("version_minor")))).alias("versions"), bad)
+    state = F.when(F.col("bad"), "bad file size").when(F.size("versions") == 0, "no valid blocks").when(F.size("versions") == 1, "single").otherwise("mixed")
     return out.select(*TILE, F.array_join(F.col("versions").cast("array<string>"), ",").alias("versions"), state.alias("state"))
 
 
@@ -116,6 +128,17 @@ def steep_report(results: DataFrame, top: int | None = None) -> DataFrame:
     return out.limit(top) if top else out
 
 
+def steep_summary(results: DataFrame) -> DataFrame:
+    """One row: tiles looked at, those with steep neighbours, and, where results have error, those that couldn't be read."""
+    error = F.col("error").isNotNull() if "error" in results.columns else F.lit(False)
+    return results.agg(F.count("*").alias("tiles"), F.count_if((F.col("steep") > 0) & ~error).alias("steep"), F.count_if(error).alias("errors"))
+
+
+def unread(results: DataFrame) -> DataFrame:
+    """The results that couldn't be read, in order, apart from the report."""
+    return results.where("error is not null").orderBy(*TILE)
+
+
 def status_summary(results: DataFrame, status_col: str) -> DataFrame:
     return results.groupBy(F.col(status_col).alias("status")).agg(F.count("*").alias("n"))
 
@@ -126,6 +149,20 @@ def compare_stores(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFr
     return pairs.select(key, differing_bytes("a", "b").alias("differing"))
 
 
+def store_summary(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFrame:
+    """One row: names in both stores (compared), and those whose bytes differ (differ)."""
+    pairs = a.select(key, F.col(content).alias("a")).join(b.select(key, F.col(content).alias("b")), key)
+    return pairs.agg(F.count("*").alias("compared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
+
+
+def resume_blocks(work: DataFrame, stored: DataFrame, spacing: int, with_crc: bool = False) -> DataFrame:
+    """The blocks of work (tile keys, blocknum, lat_e7) of which the store holds no valid one: one that passes all checks (with
+    its bytes' checksum if asked for) and lies within two units of latitude of where it should be."""
+    good = check_blocks(stored, spacing, with_crc).where("reason is null").select(*TILE, "blocknum", F.col("lat_e7").alias("at"))
+    same = [work[c] == good[c] for c in (*TILE, "blocknum")]
+    return work.join(good, [*same, F.abs(work.lat_e7 - good["at"]) <= 2], "left_anti")
+
+
 def height_changes(old: DataFrame, new: DataFrame, layout: tuple[int, int] = (32, 28)) -> DataFrame:
     """Per tile what changed between two stores (tile, blocknum, heights): points, changed, from zero to positive, the
     largest such height, and the height and flat index that show it best: a point whose four neighbours were zero, if any.
@@ -149,8 +186,13 @@ def height_changes(old: DataFrame, new: DataFrame, layout: tuple[int, int] = (32
     return out.select(*TILE, "points", zero0(F.col("changed")).alias("changed"), zero0(F.col("zero_to_positive")).alias("zero_to_positive"), zero0(F.col("any.h").cast("int")).alias("max_altitude"), zero0(F.col("shown.h").cast("int")).alias("report_altitude"), zero0(-F.col("shown.neg")).alias("report_idx"))
 
 
-def diff_mosaics(a: DataFrame, b: DataFrame) -> DataFrame:
-    """row, col, diff of two mosaics (tile, row, col, h); a cell that one lacks counts as zero there."""
+def diff_mosaics(a: DataFrame, b: DataFrame, spacing_a: float = 1, spacing_b: float = 1) -> DataFrame:
+    """row, col, diff of two mosaics (tile, row, col, h); a cell that one lacks counts as zero there. Of two spacings the
+    coarser mosaic is resampled to the finer one's cells first."""
+    if spacing_a > spacing_b:
+        a = resample_nearest(a, spacing_a, spacing_b)
+    elif spacing_b > spacing_a:
+        b = resample_nearest(b, spacing_b, spacing_a)
     j = a.withColumnRenamed("h", "ha").join(b.withColumnRenamed("h", "hb"), [*TILE, "row", "col"], "full")
     return j.select(*TILE, "row", "col", (F.coalesce("ha", F.lit(0)).cast("int") - F.coalesce("hb", F.lit(0)).cast("int")).alias("diff"))
 

@@ -149,6 +149,12 @@ def decimate(hgt_row: DataFrame, step: int = 3) -> DataFrame:
     return kept.select(*TILE, (((F.col("size") - 1) / step).cast("int") + 1).alias("size"), y.alias("y"), h.alias("h"))
 
 
+def decimate_status(hgt_row: DataFrame, size: int = 3601) -> DataFrame:
+    """Per tile: ok, or why it isn't decimated."""
+    sizes = hgt_row.groupBy(*TILE).agg(F.max("size").alias("n"))
+    return sizes.select(*TILE, F.when(F.col("n") == size, "ok").otherwise(F.concat(F.lit("not SRTM1 (size="), F.coalesce(F.col("n").cast("string"), F.lit("unknown")), F.lit(")"))).alias("status"))
+
+
 #: A cubic spline through the pixels, read at the pixels that stay, gives those pixels.
 resample_cubic = decimate
 
