@@ -83,9 +83,9 @@ def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int, on_bad_t
     reach = (ROWS + STEP_N) * spacing * E7_PER_M * 1e-7
     rows = consumers(hgt_row.where("y is not null").select(*TILE, "size", "y", "h"))
     rows = rows.where((F.col("for_lat") == F.col("tile_lat")) | (F.col("y") <= F.ceil(reach * (F.col("size") - 1)) + 1))
-    # a degree of longitude is shortest at the tile's side away from the equator
+    # rows of blocks go on for two blocks beyond the degree; it is shortest at the tile's side away from the equator
     narrow = F.greatest(F.cos(F.radians(F.greatest(F.abs("for_lat"), F.abs(F.col("for_lat") + 1)) + 1.0)), F.lit(0.01))
-    east = F.ceil((COLS + STEP_E) * spacing * E7_PER_M * 1e-7 / narrow * (F.col("size") - 1)).cast("int") + 2
+    east = F.ceil((3 * COLS + STEP_E) * spacing * E7_PER_M * 1e-7 / narrow * (F.col("size") - 1)).cast("int") + 2
     rows = rows.withColumn("h", F.when(F.col("for_lon") == F.col("tile_lon"), F.col("h")).otherwise(F.slice("h", F.lit(1), F.least(F.col("size"), east))))
     blocks = enumerate_blocks(tiles.select(*TILE), spacing).groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7"))).alias("blocks"))
     a = rows.withColumnsRenamed({"tile_lat": "src_lat", "tile_lon": "src_lon"}).groupBy("for_lat", "for_lon")
