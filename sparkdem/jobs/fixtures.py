@@ -48,10 +48,10 @@ def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str, which: str = "old") -> DataFrame:
-    """Whole blocks of heights; the four blocks of a tile lie two by two. A partial last block is left out."""
-    got = block_cells(spark, sf_dir).groupBy("tile_lat", "tile_lon", "blocknum").agg(F.array_sort(F.collect_list(F.struct("i", which))).alias("s"))
-    got = got.where(F.size("s") == 896)
-    return got.selectExpr("tile_lat", "tile_lon", "blocknum", "blocknum % 4 div 2 as grid_idx_x", "blocknum % 2 as grid_idx_y", f"transform(s, c -> c.{which}) as heights")
+    """Blocks of heights; the four blocks of a tile lie two by two. Heights that a partial last block lacks are 0."""
+    got = block_cells(spark, sf_dir).groupBy("tile_lat", "tile_lon", "blocknum").agg(F.map_from_entries(F.collect_list(F.struct("i", which))).alias("m"))
+    heights = F.transform(F.sequence(F.lit(0), F.lit(895)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("smallint")))
+    return got.select("tile_lat", "tile_lon", "blocknum", F.expr("blocknum % 4 div 2").alias("grid_idx_x"), F.expr("blocknum % 2").alias("grid_idx_y"), heights.alias("heights"))
 
 
 def block_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,9 @@ VIEWS = {
     "raster": f"select r.tile_lat, r.tile_lon, r.y, g.x, coalesce(p.h, {VOID}) h from (select distinct tile_lat, tile_lon, y from pixels) r cross join (select cast(range as int) x from range(25)) g left join pixels p on p.tile_lat = r.tile_lat and p.tile_lon = r.tile_lon and p.y = r.y and p.x = g.x",
     "points": "select event_id point_id, event_id * 7919 % 40000000 lat_e7, event_id * 104729 % 60000000 lon_e7 from events",
     "points_world": "select event_id point_id, event_id * 7919 * 104729 % 1680000001 - 840000000 lat_e7, event_id * 15485863 % 3600000000 - 1800000000 lon_e7 from events",
-    "cells": "select cast(o_orderkey // 3584 as int) tile_lat, 0 tile_lon, o_orderkey // 896 blocknum, cast(o_orderkey % 896 as int) i, case when o_orderkey % 3 = 0 then 0 else cast(trunc(o_totalprice / 100) as int) end as old, case when o_orderkey % 7 = 0 then cast(trunc(o_totalprice / 50) as int) when o_orderkey % 3 = 0 then 0 else cast(trunc(o_totalprice / 100) as int) end as new from orders where o_orderkey // 896 < (select count(*) // 896 from orders)",
+    "stored": "select cast(o_orderkey // 3584 as int) tile_lat, 0 tile_lon, o_orderkey // 896 blocknum, cast(o_orderkey % 896 as int) i, case when o_orderkey % 3 = 0 then 0 else cast(trunc(o_totalprice / 100) as int) end as old, case when o_orderkey % 7 = 0 then cast(trunc(o_totalprice / 50) as int) when o_orderkey % 3 = 0 then 0 else cast(trunc(o_totalprice / 100) as int) end as new from orders",
+    # a block that is there is whole: absent heights are 0
+    "cells": "select b.tile_lat, b.tile_lon, b.blocknum, g.i, coalesce(s.old, 0) as old, coalesce(s.new, 0) as new from (select distinct tile_lat, tile_lon, blocknum from stored) b cross join (select cast(range as int) i from range(896)) g left join stored s on s.blocknum = b.blocknum and s.i = g.i",
     "mosaic": "select tile_lat, tile_lon, (blocknum % 4 // 2) * 24 + i // 32 as row, (blocknum % 2) * 28 + i % 32 as col, arg_max(old, blocknum) h, arg_max(new, blocknum) hn from cells group by all",
     "headers": "select cast(k // 100 as int) tile_lat, 7 tile_lon, cast(k % 100 as int) blocknum, case when z then 0 when k % 61 = 7 then (k // 100 + 3) * 10000000 else (k // 100) * 10000000 + (k % 100) * 100000 end lat_e7, case when z then 0 else 70000000 + (k % 100) * 102000 end lon_e7, case when z then 0 else 1 end crc, case when z then 0 when k % 83 = 3 then 2 else 1 end as version, case when z then 0 when k % 79 = 3 then 30 else 100 end spacing, case when k % 73 = 3 then 1 else 72057594037927935 end as bitmap, cast(p_size % 2 as smallint) version_minor from (select p_partkey k, p_partkey % 89 = 5 z, p_size from part)",
     "checked": "select *, case when lat_e7 = 0 and lon_e7 = 0 and crc = 0 and version = 0 and spacing = 0 then 'zero_header' when version <> 1 then 'version' when abs(tile_lat - lat_e7 / 1e7::double) > 2 or abs(tile_lon - lon_e7 / 1e7::double) > 2 then 'position' when spacing <> 100 then 'spacing' when bitmap <> 72057594037927935 then 'bitmap' end reason from headers",
@@ -67,7 +69,7 @@ VIEWS = {
     "world": "select cast(a.range as int) tile_lat, cast(b.range as int) tile_lon from range(-85, 85) a, range(-180, 180) b",
     "land": "select distinct tile_lat, tile_lon from catalogue",
 }
-NEEDS = {"raster": ["pixels"], "mosaic": ["cells"], "checked": ["headers"], "tile_names": ["catalogue"], "cover": ["requests"], "land": ["catalogue"]}
+NEEDS = {"raster": ["pixels"], "cells": ["stored"], "mosaic": ["stored", "cells"], "checked": ["headers"], "tile_names": ["catalogue"], "cover": ["requests"], "land": ["catalogue"]}
 
 
 def sql(body: str, *views: str, **more: str) -> str:
@@ -171,10 +173,10 @@ ORACLES = {
     "S4_catalogue_keys": sql("select tile_lat, tile_lon, max(filename) filename, count(*) paths from catalogue group by all", "catalogue"),
     "S5_tile_list": sql(f"select distinct list_lat tile_lat, list_lon tile_lon from (select {name_parts(STYLES['list'], 'list')} from tile_names) where list_lat is not null", "tile_names"),
     "G1_world_tiles": sql("select w.tile_lat, count(*) tiles, count(l.tile_lat) known from world w left join land l on l.tile_lat = w.tile_lat and l.tile_lon = w.tile_lon group by all", "world", "land"),
-    "G2_enumerate_blocks": sql("select * from blocks", "catalogue", **block_views("(select distinct tile_lat, tile_lon from catalogue where tile_lat % 5 = 0)", 500, 14)),
+    "G2_enumerate_blocks": sql("select * from blocks", "catalogue", **block_views("(select distinct tile_lat, tile_lon from catalogue)", 500, 14)),
     "G3_grid_points": sql("select bl tile_lat, bo tile_lon, blocknum, cast(sum(lat_e7) as bigint) sum_lat, cast(sum(lon_e7) as bigint) sum_lon, count(*) n from grid_pts group by all", "pixels", **G4),
     "G4_generate_blocks": sql(SUMMARY, "raster", **G4, **heights4()),
-    "G5_generate_ocean": sql("select tile_lat, tile_lon, blocknum, lat_e7, lon_e7, cast(0 as bigint) sum_h, 0 min_h, 0 max_h from blocks", "world", "land", **block_views("(select * from world where tile_lat between -3 and 3 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land))", 5000, 4)),
+    "G5_generate_ocean": sql("select tile_lat, tile_lon, blocknum, lat_e7, lon_e7, cast(0 as bigint) sum_h, 0 min_h, 0 max_h from blocks", "world", "land", **block_views("(select * from world where tile_lat between -60 and 59 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land))", 5000, 4)),
     "G6_decimate": sql("select tile_lat, tile_lon, 9 size, cast(y // 3 as int) y, cast(x // 3 as int) x, h from raster where (24 - y) % 3 = 0 and x % 3 = 0", "raster"),
     "G7_mean_pool": sql(f"select tile_lat, tile_lon, cast((24 - y + 1) // 3 as bigint) as row, cast((x + 1) // 3 as bigint) col, {t('avg(h)')} h from pixels where h <> {VOID} group by all", "pixels"),
     "G8_resample_nearest": sql("select tile_lat, count(*) cells, cast(sum(h * (r.range * 1000 + c.range)) as bigint) weighed from (select tile_lat, max(row) mr, max(col) mc from mosaic group by all) d join range(300) r on r.range < trunc((mr + 1) * (100 / 60::double)) join range(300) c on c.range < trunc((mc + 1) * (100 / 60::double)) join mosaic m using (tile_lat) where m.row = least(trunc(r.range / (100 / 60::double)), mr) and m.col = least(trunc(c.range / (100 / 60::double)), mc) group by tile_lat", "mosaic"),
@@ -183,7 +185,7 @@ ORACLES = {
     "G12_set_version_minor": sql("select version, case when version = 1 then 9::smallint else version_minor end version_minor, count(*) n from headers group by all", "headers"),
     "J1_classify_tiles": sql("select w.tile_lat, case when l.tile_lat is not null then 'land' when (select count(*) from land) > 1000 then 'ocean' else 'unknown' end kind, count(*) n from world w left join land l on l.tile_lat = w.tile_lat and l.tile_lon = w.tile_lon where w.tile_lat between -60 and 59 group by all", "world", "land"),
     "J2_consumers": sql("select cast(tile_lat - a.range as int) for_lat, cast(tile_lon - b.range as int) for_lon, count(*) sources, min(tile_lat) least_lat, max(tile_lon) most_lon from (select distinct tile_lat, tile_lon from pixels), range(2) a, range(2) b group by all", "pixels"),
-    "J4_pending": sql("select * from world where tile_lat between -5 and 5 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land)", "world", "land"),
+    "J4_pending": sql("select * from world where tile_lat between -60 and 59 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land)", "world", "land"),
     "J5_resume_blocks": sql("select tile_lat, tile_lon, blocknum, lat_e7 from (select tile_lat, tile_lon, blocknum, (tile_lat * 100 + blocknum) * 100000 + blocknum % 5 lat_e7 from headers) w where not exists (select 1 from checked c where c.reason is null and c.tile_lat = w.tile_lat and c.blocknum = w.blocknum and abs(c.lat_e7 - w.lat_e7) <= 2)", "checked"),
     "J6_sample_blocks": sql("select point_id, round(h, 6) h from read", "cells", "points", near="select point_id, lat_e7 // 40000000 * 10000000 + lat_e7 % 450000 + point_id % 5 * 10000000 lat_e7, lon_e7 % 500000 lon_e7 from points", **in_blocks("near")),
     "J7_compare_profiles": sql("select s.point_id, height hgt_h, round(h, 6) dat_h, round(h - height, 6) diff from sampled s join read using (point_id)", "raster", "cells", "points", near="select point_id, lat_e7 % 450000 + point_id % 5 * 10000000 lat_e7, lon_e7 % 500000 lon_e7 from points", **in_blocks("near"), **sampled("near")),
@@ -212,13 +214,18 @@ ORACLES = {
     "R1_steep_report": "",
     "R2_ordered_tiles": sql("select * from land order by tile_lat, tile_lon", "land"),
     "X1_common_names": sql("select filename, 'both' side from (select filename from catalogue where k % 2 = 0 intersect select filename from catalogue where k % 3 = 0) union all select filename, 'first' from (select filename from catalogue where k % 2 = 0 except select filename from catalogue where k % 3 = 0)", "catalogue"),
-    "X2_world_minus_land": sql("select tile_lat, count(*) n, min(tile_lon) west from world where tile_lat between -60 and -50 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land) group by all", "world", "land"),
+    "X2_world_minus_land": sql("select tile_lat, count(*) n, min(tile_lon) west from world where tile_lat between -60 and 59 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land) group by all", "world", "land"),
     "X3_land_and_ocean": "",
     "X4_planning_modes": sql(f"select 'world' as mode, cast(720 as bigint) n union all select 'existing', count(*) from land union all select 'list', count(*) from (select distinct list_lat, list_lon from (select {name_parts(STYLES['list'], 'list')} from tile_names) where list_lat is not null)", "land", "tile_names"),
     "T1_stream_cover": sql("select abs(tile_lat) > 84 outside, count(*) n from cover group by all", "cover"),
     "T3_expired": "select count(*) n, max(event_id) as last from events where ts < (select max(ts) - interval 24 hours from events)",
 }
 ORACLES["R1_steep_report"] = f"select tile_lat, tile_lon, steep, max_diff from ({ORACLES['A2_steep_hgt']}) where steep > 0 order by max_diff desc, tile_lat, tile_lon limit 20"
-LAND = "(select tile_lat, tile_lon, true land from (select distinct tile_lat, tile_lon from pixels where tile_lat <= 1) union all select w.tile_lat, w.tile_lon, false from world w where w.tile_lat between 0 and 1 and w.tile_lon between 0 and 9 and not exists (select 1 from pixels p where p.tile_lat = w.tile_lat and p.tile_lon = w.tile_lon))"
-X3 = block_views(LAND, 1000, 8) | {"grid_pts": point_views(1000)["grid_pts"]}
-ORACLES["X3_land_and_ocean"] = sql("select tile_lat, tile_lon, count(distinct blocknum) blocks, cast(sum(case when (tile_lat, tile_lon) in (select (tile_lat, tile_lon) from low) then h else 0 end) as bigint) sum_h from heights group by all", "world", pixels=VIEWS["pixels"] + " where o_orderkey // 3750 <= 1", raster=VIEWS["raster"], low="select distinct tile_lat, tile_lon from pixels", **X3, **heights4())
+EVERY = "(select tile_lat, tile_lon from low union select tile_lat, tile_lon from world where tile_lat between -60 and 59)"
+# heights of the ocean are 0 by definition, so only blocks of land are sampled
+X3 = block_views(EVERY, 1000, 8) | {
+    "land_blocks": "select * from blocks where (tile_lat, tile_lon) in (select (tile_lat, tile_lon) from low)",
+    "grid_pts": point_views(1000)["grid_pts"].replace("from blocks b", "from land_blocks b"),
+}
+SUMS = "(select tile_lat, tile_lon, blocknum, sum(h) s from heights group by all)"
+ORACLES["X3_land_and_ocean"] = sql(f"select tile_lat, tile_lon, count(*) blocks, cast(coalesce(sum(s), 0) as bigint) sum_h from blocks left join {SUMS} using (tile_lat, tile_lon, blocknum) group by all", "world", "raster", low="select distinct tile_lat, tile_lon from pixels", **X3, **heights4())

@@ -13,8 +13,6 @@ from sparkdem.sources import files
 from sparkdem.streaming import jobs as streams
 
 QUERIES = {}
-#: Queries over whole tables beside those whose SQL reads a part of them; they have no SQL.
-WHOLE = {}
 #: Latitudes that the catalogue spans.
 SPAN = (-60, 59)
 #: Metres between grid points in the queries that generate blocks; the formulas hold at any spacing.
@@ -26,11 +24,6 @@ def query(fn):
     return fn
 
 
-def whole(fn):
-    WHOLE[fn.__name__] = fn
-    return fn
-
-
 def tiles_of(df: DataFrame) -> DataFrame:
     return df.select("tile_lat", "tile_lon").distinct()
 
@@ -168,7 +161,7 @@ def G1_world_tiles(spark, d):
 
 @query
 def G2_enumerate_blocks(spark, d):
-    return grid.enumerate_blocks(tiles_of(fx.catalogue(spark, d).where("tile_lat % 5 = 0")), 500).select("tile_lat", "tile_lon", "blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7")
+    return grid.enumerate_blocks(tiles_of(fx.catalogue(spark, d)), 500).select("tile_lat", "tile_lon", "blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7")
 
 
 @query
@@ -186,7 +179,7 @@ def G4_generate_blocks(spark, d):
 
 @query
 def G5_generate_ocean(spark, d):
-    return summary(grid.generate_ocean(grid.world_tiles(spark, -3, 3), fx.catalogue(spark, d), 5000))
+    return summary(grid.generate_ocean(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d), 5000))
 
 
 @query
@@ -222,7 +215,7 @@ def G12_set_version_minor(spark, d):
 
 @query
 def J1_classify_tiles(spark, d):
-    return grid.classify_tiles(grid.world_tiles(spark, -60, 59), fx.catalogue(spark, d), 1000).groupBy("tile_lat", "kind").agg(F.count("*").alias("n"))
+    return grid.classify_tiles(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d), 1000).groupBy("tile_lat", "kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -232,7 +225,7 @@ def J2_consumers(spark, d):
 
 @query
 def J4_pending(spark, d):
-    return grid.pending(grid.world_tiles(spark, -5, 5), fx.catalogue(spark, d))
+    return grid.pending(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d))
 
 
 @query
@@ -401,14 +394,14 @@ def X1_common_names(spark, d):
 
 @query
 def X2_world_minus_land(spark, d):
-    return grid.pending(grid.world_tiles(spark, -60, -50), fx.catalogue(spark, d)).groupBy("tile_lat").agg(F.count("*").alias("n"), F.min("tile_lon").alias("west"))
+    return grid.pending(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d)).groupBy("tile_lat").agg(F.count("*").alias("n"), F.min("tile_lon").alias("west"))
 
 
 @query
 def X3_land_and_ocean(spark, d):
-    """Blocks of land and of ocean as one store, counted by tile."""
-    land = fx.hgt_row(spark, d).where("tile_lat <= 1")
-    both = grid.generate_blocks(land, tiles_of(land), COARSE).unionByName(grid.generate_ocean(grid.world_tiles(spark, 0, 1).where("tile_lon between 0 and 9"), land, COARSE))
+    """Blocks of all rasters and of the ocean between and around them as one store, counted by tile."""
+    land = fx.hgt_row(spark, d)
+    both = grid.generate_blocks(land, tiles_of(land), COARSE).unionByName(grid.generate_ocean(grid.world_tiles(spark, *SPAN), land, COARSE))
     return summary(both).groupBy("tile_lat", "tile_lon").agg(F.count("*").alias("blocks"), F.sum("sum_h").alias("sum_h"))
 
 
@@ -432,31 +425,3 @@ def T3_expired(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id"), F.col("ts").cast("timestamp").alias("modificationTime"))
     now = e.agg(F.max("modificationTime")).first()[0]
     return streams.expired(e, now, 24).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-
-
-@whole
-def G2_enumerate_all_blocks(spark, d):
-    return grid.enumerate_blocks(tiles_of(fx.catalogue(spark, d)), 500).select("tile_lat", "tile_lon", "blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7")
-
-
-@whole
-def G5_generate_all_ocean(spark, d):
-    return summary(grid.generate_ocean(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d), 5000))
-
-
-@whole
-def J4_pending_everywhere(spark, d):
-    return grid.pending(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d))
-
-
-@whole
-def X2_whole_world_minus_land(spark, d):
-    return grid.pending(grid.world_tiles(spark, *SPAN), fx.catalogue(spark, d)).groupBy("tile_lat").agg(F.count("*").alias("n"), F.min("tile_lon").alias("west"))
-
-
-@whole
-def X3_all_land_and_ocean(spark, d):
-    """Blocks of all rasters and of the ocean between them and around the world as one store, counted by tile."""
-    land = fx.hgt_row(spark, d)
-    both = grid.generate_blocks(land, tiles_of(land), COARSE).unionByName(grid.generate_ocean(grid.world_tiles(spark, *SPAN), land, COARSE))
-    return summary(both).groupBy("tile_lat", "tile_lon").agg(F.count("*").alias("blocks"), F.sum("sum_h").alias("sum_h"))
