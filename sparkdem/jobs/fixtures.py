@@ -29,6 +29,25 @@ def hgt_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("tile_lat", "tile_lon", "size", "y", h.alias("h"))
 
 
+def full_raster(spark: SparkSession, sf_dir: str, size: int = 1201) -> DataFrame:
+    """The rasters at a size that files have: each pixel repeated, rows that aren't there void."""
+    rows, step = hgt_row(spark, sf_dir), (size - 1) // (SIZE - 1)
+    every = rows.select("tile_lat", "tile_lon").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))))
+    absent = F.array_repeat(F.lit(VOID).cast("smallint"), SIZE)
+    small = every.join(rows.drop("size"), ["tile_lat", "tile_lon", "y"], "left").withColumn("h", F.coalesce("h", absent))
+    wide = F.expr(f"transform(sequence(0, {size - 1}), x -> h[x div {step}])")
+    up = F.explode(F.expr(f"sequence(y * {step}, least(y * {step} + {step - 1}, {size - 1}))"))
+    return small.select("tile_lat", "tile_lon", up.alias("y"), wide.alias("h"))
+
+
+def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blocks with the fields of a header, numbered within their tiles."""
+    return blocks(spark, sf_dir).selectExpr(
+        "tile_lat", "tile_lon", "int(blocknum % 4) as blocknum", "72057594037927935 as bitmap", "tile_lat * 10000000L + blocknum % 4 as lat_e7", "blocknum % 4 * 2000 as lon_e7", "1 as version", "100 as spacing",
+        "heights", "int(grid_idx_x) as grid_idx_x", "int(grid_idx_y) as grid_idx_y", "tile_lon as lon_degrees", "tile_lat as lat_degrees", "1 as version_minor",
+    )
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").selectExpr("event_id as point_id", "event_id * 7919 % 40000000 as lat_e7", "event_id * 104729 % 60000000 as lon_e7")
 

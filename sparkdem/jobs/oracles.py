@@ -229,3 +229,29 @@ X3 = block_views(EVERY, 1000, 8) | {
 }
 SUMS = "(select tile_lat, tile_lon, blocknum, sum(h) s from heights group by all)"
 ORACLES["X3_land_and_ocean"] = sql(f"select tile_lat, tile_lon, count(*) blocks, cast(coalesce(sum(s), 0) as bigint) sum_h from blocks left join {SUMS} using (tile_lat, tile_lon, blocknum) group by all", "world", "raster", low="select distinct tile_lat, tile_lon from pixels", **X3, **heights4())
+EVERY_ROW = f"select t.tile_lat, t.tile_lon, cast(y.range as int) y, x.range x, coalesce(p.h, {VOID}) h from (select distinct tile_lat, tile_lon from pixels) t cross join range(25) y cross join range(25) x left join pixels p on p.tile_lat = t.tile_lat and p.tile_lon = t.tile_lon and p.y = y.range and p.x = x.range"
+BY_BLOCK = "select tile_lat, tile_lon, cast(blocknum % 4 as int) n, sum(old) s, sum(old * (i + 1)) w, md5(string_agg(printf('%02x%02x', old & 255, (old >> 8) & 255), '' order by i)) hex from cells group by all"
+AROUND = f"select *, lead(b) over up e from (select *, lead(a) over (partition by tile_lat, tile_lon, y order by x) b, lead(a) over up c from (select *, nullif(h, {VOID}) a from pixels) window up as (partition by tile_lat, tile_lon, x order by y)) window up as (partition by tile_lat, tile_lon, x order by y)"
+
+
+def weighed(a: str, b: str, w: str) -> str:
+    return f"coalesce({b} * {w} + {a} * (1 - {w}), {a}, {b})"
+
+
+def between(fx: str, fy: str) -> str:
+    return weighed(f"({weighed('a', 'b', fx)})", f"({weighed('c', 'e', fx)})", fy)
+
+
+ORACLES |= {
+    "S1_read_hgt": sql("select tile_lat, tile_lon, 1201 size, cast(y * 50 + r.range as int) y, sum_h, min_h, cast(null as varchar) error from (select tile_lat, tile_lon, y, cast(sum(h * case when x < 24 then 50 else 1 end) as bigint) sum_h, min(h) min_h from every_row group by all) join range(50) r on y < 24 or r.range = 0", "pixels", every_row=EVERY_ROW),
+    "S2_read_dat": sql("select cast(2048 * (max(n) over (partition by tile_lat) + 1) as bigint) file_bytes, n blocknum, 72057594037927935 as bitmap, tile_lat * 10000000::bigint + n lat_e7, cast(n * 2000 as bigint) lon_e7, 1 as version, 100 spacing, n // 2 grid_idx_x, n % 2 grid_idx_y, tile_lat lat_degrees, 0 lon_degrees, cast(null as varchar) error, 1 version_minor, cast(w as bigint) weighed from by_block", "cells", by_block=BY_BLOCK),
+    "S7_write_bundle": sql("select 'lat' || tile_lat // 10 as key, cast(count(distinct tile_lat) as int) members, 'ok' status from cells group by all", "cells"),
+    "S9_write_blocks": sql("select 100 spacing, tile_lat, tile_lon, count(*) blocks, cast(sum(s) as bigint) sum_h from by_block group by all", "cells", by_block=BY_BLOCK),
+    "S10_scan_tiles": sql("select distinct tile_lat, tile_lon from cells", "cells"),
+    "P10_void_to": sql(f"select tile_lat, tile_lon, x, y, case h when {VOID} then 0 else h end as zero, nullif(h, {VOID}) as none from pixels", "pixels"),
+    "P11_bilinear": sql(f"select tile_lat, tile_lon, x, y, {between('(x % 4 / 4.0::double)', '(y % 8 / 8.0::double)')} as value from around", "pixels", around=AROUND),
+    "P12_fill_height": sql(f"select tile_lat, tile_lon, x, y, cast(trunc({between('0.5::double', '0.25::double')} - 1000) as smallint) filled from around", "pixels", around=AROUND),
+    # bit by bit, the highest first, by the polynomial x^16 + x^12 + x^5 + 1
+    "P17_crc16_xmodem": "select p_partkey, cast(list_reduce(list_prepend(0, flatten(list_transform(string_split(p_name, ''), lambda c: list_transform(range(8), lambda b: (ord(c) >> cast(7 - b as int)) & 1)))), lambda r, b: xor((r << 1) & 65535, xor(r >> 15, b) * 4129)) as int) crc from part",
+    "G11_pack_blocks": sql("select tile_lat, n blocknum, 2048 as bytes, tile_lat * 10000000::bigint + n lat_e7, cast(n * 2000 as bigint) lon_e7, cast(100 as bigint) spacing, hex heights, true sealed from by_block", "cells", by_block=BY_BLOCK),
+}

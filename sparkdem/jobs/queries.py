@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkdem.functions import geo
+from sparkdem.functions.codec import crc16_xmodem
 from sparkdem.functions.names import parse_tile_name, tile_name
 from sparkdem.jobs import fixtures as fx
 from sparkdem.operators import audit, grid, requests, sampling
@@ -425,3 +429,99 @@ def T3_expired(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id"), F.col("ts").cast("timestamp").alias("modificationTime"))
     now = e.agg(F.max("modificationTime")).first()[0]
     return streams.expired(e, now, 24).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files in the shared one; in a temporary one only where spark.checkpoint.dir is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared if ':/' in shared else 'file://' + shared}/{name}-{uuid.uuid4().hex}"
+
+
+def done(df: DataFrame) -> None:
+    """Runs a sink for all its rows; nothing is sent to the driver."""
+    df.write.format("noop").mode("overwrite").save()
+
+
+def dat_store(spark: SparkSession, d: str) -> str:
+    path = folder(spark, "dat")
+    done(files.write_dat(fx.stored_blocks(spark, d), path))
+    return path
+
+
+@query
+def S1_read_hgt(spark, d):
+    """S8 writes the rasters as files, S1 reads them back; the heights of each row, summed up."""
+    path = folder(spark, "hgt")
+    done(files.write_hgt(fx.full_raster(spark, d), path))
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a + h)
+    return files.read_hgt(spark, path).select("tile_lat", "tile_lon", "size", "y", total.alias("sum_h"), F.array_min("h").cast("int").alias("min_h"), "error")
+
+
+@query
+def S2_read_dat(spark, d):
+    """S6 writes the blocks as files, S2 reads them back."""
+    back = files.read_dat(spark, dat_store(spark, d))
+    weighed = F.expr("aggregate(transform(heights, (h, i) -> bigint(h) * (i + 1)), 0L, (a, x) -> a + x)")
+    fields = ["file_bytes", "blocknum", "bitmap", "lat_e7", "lon_e7", "version", "spacing", "grid_idx_x", "grid_idx_y", "lat_degrees", "lon_degrees", "error"]
+    return back.select(*fields, F.col("version_minor").cast("int").alias("version_minor"), weighed.alias("weighed"))
+
+
+@query
+def S7_write_bundle(spark, d):
+    """Bundles of the stored tiles, ten degrees each."""
+    paths = files.listed(spark, dat_store(spark, d), "*.DAT.gz").select("path", parse_tile_name(F.regexp_extract("path", "[^/]+$", 0), "prefix").alias("tile"))
+    keyed = paths.select(F.concat(F.lit("lat"), F.expr("tile.tile_lat div 10")).alias("name"), "path")
+    return files.write_bundle(keyed, "name", folder(spark, "bundles")).select("key", "members", "status")
+
+
+@query
+def S9_write_blocks(spark, d):
+    """The native store, written and read back by tile."""
+    path = folder(spark, "blocks")
+    files.write_blocks(fx.stored_blocks(spark, d), path)
+    return spark.read.parquet(path).groupBy("spacing", "tile_lat", "tile_lon").agg(F.count("*").alias("blocks"), F.sum(F.aggregate("heights", F.lit(0).cast("long"), lambda a, h: a + h)).alias("sum_h"))
+
+
+@query
+def S10_scan_tiles(spark, d):
+    return files.scan_tiles(spark, dat_store(spark, d))
+
+
+def with_neighbours(spark, d) -> DataFrame:
+    """Pixels with those to the east, north and north-east; null where one is void or isn't there."""
+    p = fx.pixels(spark, d).withColumn("a", F.when(F.col("h") != geo.VOID, F.col("h").cast("int")))
+    across, up = Window.partitionBy("tile_lat", "tile_lon", "y").orderBy("x"), Window.partitionBy("tile_lat", "tile_lon", "x").orderBy("y")
+    return p.withColumn("b", F.lead("a").over(across)).withColumns({"c": F.lead("a").over(up), "e": F.lead("b").over(up)})
+
+
+@query
+def P10_void_to(spark, d):
+    return fx.pixels(spark, d).select("tile_lat", "tile_lon", "x", "y", geo.void_to(F.col("h").cast("int"), 0).alias("zero"), geo.void_to(F.col("h").cast("int"), None).alias("none"))
+
+
+@query
+def P11_bilinear(spark, d):
+    """Heights between four pixels, at places that depend on the pixel; a side that is void gives way to the other."""
+    value = geo.bilinear("a", "b", "c", "e", F.col("x") % 4 / 4.0, F.col("y") % 8 / 8.0)
+    return with_neighbours(spark, d).select("tile_lat", "tile_lon", "x", "y", value.alias("value"))
+
+
+@query
+def P12_fill_height(spark, d):
+    value = geo.bilinear("a", "b", "c", "e", F.lit(0.5), F.lit(0.25)) - 1000
+    return with_neighbours(spark, d).select("tile_lat", "tile_lon", "x", "y", geo.fill_height(value).alias("filled"))
+
+
+@query
+def P17_crc16_xmodem(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", crc16_xmodem(F.encode("p_name", "utf-8")).alias("crc"))
+
+
+@query
+def G11_pack_blocks(spark, d):
+    """Fields as they lie in the packed bytes, and whether the stored checksum is that of the bytes."""
+    packed = grid.pack_blocks(fx.stored_blocks(spark, d))
+    number = lambda at, n: F.conv(F.concat(*(F.hex(F.substring("content", at + n - 1 - k, 1)) for k in range(n))), 16, 10).cast("long")
+    sealed = crc16_xmodem(F.concat(F.substring("content", 1, 16), F.lit(b"\0\0"), F.substring("content", 19, geo.DATA_BYTES - 18))) == number(17, 2)
+    heights = F.md5(F.lower(F.hex(F.substring("content", 23, 2 * geo.ROWS * geo.COLS))))
+    return packed.select("tile_lat", "blocknum", F.octet_length("content").alias("bytes"), number(9, 4).alias("lat_e7"), number(13, 4).alias("lon_e7"), number(21, 2).alias("spacing"), heights.alias("heights"), sealed.alias("sealed"))
