@@ -194,7 +194,7 @@ ORACLES = {
     "J10_diff_mosaics": sql("select tile_lat, cast(count(*) filter (d <> 0) as bigint) changed, min(d) least, max(d) most, count(*) cells from (select m.tile_lat, hn - coalesce(b.h, 0) d from mosaic m left join (select tile_lat, (blocknum % 4 // 2) * 24 + i // 32 as row, (blocknum % 2) * 28 + i % 32 as col, arg_max(old, blocknum) h from cells where blocknum % 3 > 0 group by all) b on b.tile_lat = m.tile_lat and b.row = m.row and b.col = m.col) group by all", "mosaic"),
     "J11_cover_requests": sql("select *, abs(tile_lat) > 84 outside from cover", "cover"),
     "J12_resolve_requests": sql("select request_id, count(*) filter (abs(c.tile_lat) <= 84) tiles, count(*) filter (abs(c.tile_lat) > 84) outside, case when bool_and(l.tile_lat is not null or abs(c.tile_lat) > 84) then 'ok' else 'Cannot generate terrain' end status from cover c left join land l on l.tile_lat = c.tile_lat and l.tile_lon = c.tile_lon group by all", "cover", "land"),
-    "A1_tiles_by_continent": sql("select continent, cast(count(*) as int) n, md5(string_agg(replace(filename, '.hgt.zip', '.DAT.gz'), ',' order by filename)) digest from catalogue where continent not in ('', 'USGS') group by all", "catalogue"),
+    "A1_tiles_by_continent": sql("select continent, cast(count(*) as int) n, md5(string_agg(replace(filename, '.hgt.zip', '.DAT.gz'), ',' order by filename)) digest from (select distinct continent, filename from catalogue) where continent not in ('', 'USGS') group by all", "catalogue"),
     "A2_steep_hgt": sql(f"select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, max(d) max_diff, round(tile_lat + 1.0::double - arg_max(24 - y, o) filter (d is not null) / 24::double, 9) max_lat, round(tile_lon + arg_max(x, o) filter (d is not null) / 24::double, 9) max_lon from (select *, case when d is not null then d * 10000 + case when kind = 'h' then 5000 else 0 end - ((24 - y) * 25 + x) end o from (select tile_lat, tile_lon, y, x, 'h' kind, abs(lead(v) over (partition by tile_lat, tile_lon, y order by x) - v) d from r union all select tile_lat, tile_lon, y, x, 'v', case when lead(y) over w = y - 1 then abs(lead(v) over w - v) end from r window w as (partition by tile_lat, tile_lon, x order by y desc))) group by tile_lat, tile_lon", "raster", r=f"select *, nullif(h, {VOID}) v from raster"),
     "A3_steep_blocks": sql("select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, max(d) max_diff, arg_max(blocknum, o) filter (d is not null) blocknum, cast(arg_max(i // 32, o) filter (d is not null) as bigint) gx, cast(arg_max(i % 32, o) filter (d is not null) as bigint) gy from (select *, case when d is not null then d::hugeint * 10000000000 - blocknum * 10000 + case when kind = 'h' then 5000 else 0 end - i end o from (select *, 'h' kind, case when i % 32 < 31 then abs(lead(old) over b - old) end d from cells window b as (partition by blocknum order by i) union all select *, 'v', abs(lead(old, 32) over b - old) from cells window b as (partition by blocknum order by i))) group by all", "cells"),
     "A4_zero_mix": sql("select tile_lat, tile_lon, cast(count(*) filter (old = 0) as bigint) zeros, count(*) total, count(*) filter (old = 0) > 0 and count(*) filter (old = 0) < count(*) affected from cells group by all", "cells"),

@@ -57,7 +57,7 @@ def distinct_tiles(cover: DataFrame) -> DataFrame:
 
 
 def tiles_by_continent(catalogue: DataFrame) -> DataFrame:
-    """continent and its members, sorted; names without a continent and the survey's own folder are left out."""
+    """continent and its members, sorted, each once (so at most as many as there are tiles); names without a continent and the survey's own folder are left out."""
     member = F.concat(F.regexp_replace("filename", r"\.hgt\.zip$", ""), F.lit(".DAT.gz"))
     used = catalogue.where("continent not in ('', 'USGS')")
-    return used.groupBy("continent").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    return used.groupBy("continent").agg(F.sort_array(F.collect_set(member)).alias("members"))
