@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from sparkdem.llm.common import arrow_map, hashed_sample, materialise
 
-#: The model is fitted on at most so many vectors (those with the least hash of id) and cuts them into parts of so many.
-SAMPLE, PART = 4096, 96
+#: The model is fitted on at most so many vectors (those with the least hash of id) and cuts them into parts of so many; so
+#: many more, at most, are held out of the training, and tell how many parts a query must go to.
+SAMPLE, PART, HELD_OUT = 4096, 96, 1024
 #: Neighbours of a sampled vector in the graph; the hidden units of the classifier; the share of them its choice of parts must hold.
 DEGREE, HIDDEN, AIM = 20, 128, 0.93
 #: Rows and queries that meet in one group at most, about.
@@ -96,7 +97,11 @@ def train_classifier(x: np.ndarray, target: np.ndarray, steps: int = 400, seed:
 
 
 def fit(x: np.ndarray, k: int) -> dict:
-    """The model: the classifier, its scale, the number of parts, and of probes that hold AIM of the sample's neighbours."""
+    """The model: the classifier, its scale, the number of parts, and of probes. The last fifth of x (rows in no order) takes no
+    part in the training; probes hold AIM of those neighbours of its rows that are in it, too, as most rows are new to the model."""
+    out = min(HELD_OUT, len(x) // 5)
+    held, every = x[len(x) - out :], x
+    x = x[: len(x) - out]
     n_parts = max(1, len(x) // PART)
     scale = 1 / max(1e-300, float(np.sqrt((x**2).sum(axis=1).mean()))) if len(x) else 1.0
     if n_parts == 1:
@@ -111,10 +116,16 @@ def fit(x: np.ndarray, k: int) -> dict:
     target[np.arange(len(x)), part] += 0.5
     spread = max(1.0, np.sqrt(x.shape[1]))
     model = train_classifier(x * spread, target) | {"n_parts": n_parts, "scale": scale * spread}
-    logits = probabilities(model, x * spread)
+    logits = probabilities(model, held * model["scale"])
     home = logits.argmax(axis=1)
     rank = np.argsort(np.argsort(-logits, axis=1), axis=1)
-    need = np.sort(np.take_along_axis(rank, home[near[:, : min(k, degree)]], axis=1).ravel())
+    scores = held @ every.T
+    scores[np.arange(out), np.arange(len(x), len(every))] = -np.inf
+    best = np.argpartition(-scores, min(k, len(every) - 1) - 1, axis=1)[:, : min(k, len(every) - 1)]
+    query, spot = np.nonzero(best >= len(x))
+    need = np.sort(rank[query, home[best[query, spot] - len(x)]])
+    if not len(need):
+        return model | {"probes": n_parts}
     model["probes"] = int(min(n_parts, need[int(AIM * (len(need) - 1))] + 1))
     return model
 
@@ -189,7 +200,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     query, it is compared with all rows, so it gets k rows if there are so many. An empty table gives no rows.
     """
     valid = vectors_of(df, id_col, vec_col)
-    sample = hashed_sample(valid, ["id"], SAMPLE).collect()
+    sample = hashed_sample(valid, ["id"], SAMPLE + HELD_OUT).collect()
     if not sample:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     dims, counts = np.unique([len(r.v) for r in sample], return_counts=True)
