@@ -216,7 +216,7 @@ ORACLES = {
     "X1_common_names": sql("select filename, 'both' side from (select filename from catalogue where k % 2 = 0 intersect select filename from catalogue where k % 3 = 0) union all select filename, 'first' from (select filename from catalogue where k % 2 = 0 except select filename from catalogue where k % 3 = 0)", "catalogue"),
     "X2_world_minus_land": sql("select tile_lat, count(*) n, min(tile_lon) west from world where tile_lat between -60 and 59 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land) group by all", "world", "land"),
     "X3_land_and_ocean": "",
-    "X4_planning_modes": sql(f"select 'world' as mode, cast(720 as bigint) n union all select 'existing', count(*) from land union all select 'list', count(*) from (select distinct list_lat, list_lon from (select {name_parts(STYLES['list'], 'list')} from tile_names) where list_lat is not null)", "land", "tile_names"),
+    "X4_planning_modes": sql(f"select 'world' as mode, count(*) n from world where tile_lat between -60 and 59 union all select 'existing', count(*) from land union all select 'list', count(*) from (select distinct list_lat, list_lon from (select {name_parts(STYLES['list'], 'list')} from tile_names) where list_lat is not null)", "world", "land", "tile_names"),
     "T1_stream_cover": sql("select abs(tile_lat) > 84 outside, count(*) n from cover group by all", "cover"),
     "T3_expired": "select count(*) n, max(event_id) as last from events where ts < (select max(ts) - interval 24 hours from events)",
 }

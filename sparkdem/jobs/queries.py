@@ -413,7 +413,7 @@ def X3_land_and_ocean(spark, d):
 def X4_planning_modes(spark, d):
     c = tiles_of(fx.catalogue(spark, d))
     listed = files.read_tile_list(fx.tile_names(spark, d), "name")[0]
-    modes = {"world": grid.world_tiles(spark, -1, 0), "existing": c, "list": listed}
+    modes = {"world": grid.world_tiles(spark, *SPAN), "existing": c, "list": listed}
     parts = [t.select("tile_lat", "tile_lon", F.lit(m).alias("mode")) for m, t in modes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("mode").agg(F.count("*").alias("n"))
 
