@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdem.llm import ann, bpe, chat, lines, mixing, ogg, sharding, simhash, tokenfile, toxicity
+from sparkdem.llm import ann, bpe, chat, lines, mixing, ogg, packing, sharding, simhash, tokenfile, toxicity
 from sparkdem.llm.common import shared_dir, table
 
 
@@ -98,6 +98,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", max_repeats=2.0).withColumnRenamed("key", "doc_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocab_path(), window=1024, end_id=0)
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op11_packing": op11_packing,
 }
 #: Lengths count code points; a block begins where the role changes.
 CHAT_SQL = r"""
