@@ -49,10 +49,10 @@ def materialise(df: DataFrame, name: str = "table", compression: str = "snappy")
 BROADCAST_ROWS = 400_000
 
 
-def held(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """big joined to small, a written table of a key and few other numbers: broadcast while it has at most BROADCAST_ROWS
-    rows, and shuffled beyond them."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def held(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """big joined to small, a written table of a key and few other numbers: broadcast while it has at most `most` rows, and
+    shuffled beyond them."""
+    few = small.limit(most + 1).count() <= most
     return big.join(F.broadcast(small) if few else small.hint("shuffle_hash"), on, how)
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdem.llm import ann, bpe, chat, lines, mixing, ogg, packing, sharding, simhash, tokenfile, toxicity
+from sparkdem.llm import ann, bpe, chat, lines, mixing, negatives, ogg, packing, resampling, sharding, simhash, tokenfile, toxicity
 from sparkdem.llm.common import shared_dir, table
 
 
@@ -103,6 +103,18 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label, positives=5, negatives=5, band=(80, 100), scale=256)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, wanted = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = resampling.resample(docs, wanted, lambda n: 10 * n // 100, buckets=10_000, run=1, min_words=20, seed=2024)
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -115,6 +127,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
     "op11_packing": op11_packing,
+    "op12_negatives": op12_negatives,
+    "op13_resampling": op13_resampling,
 }
 #: Lengths count code points; a block begins where the role changes.
 CHAT_SQL = r"""
@@ -133,4 +147,54 @@ select conv_id, count(*) as n_turns,
   cast(sum(text_chars + case when begins then role_chars + length('<|start|><|text|><|end|>') + 1 else length('<|sep|>') end) as bigint) as formatted_chars
 from placed group by conv_id
 """
-ORACLES: dict[str, str] = {"op10_chat": CHAT_SQL}
+NEGATIVES_SQL = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, a.label = b.label as alike, b.vec_id as id, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where alike
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as int) as rank, id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not alike and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 5
+"""
+#: The checksum of each different word is made from a table of the 256 bytes' checksums.
+RESAMPLING_SQL = r"""
+with recursive step as (
+  select i as byte, i as c, 0 as k from range(256) t(i)
+  union all select byte, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8
+), bytes as (
+  select list(c order by byte) as crc from step where k = 8
+), said as (
+  select 1 as kind, row_number() over () as row, doc_id, text from documents union all select 0, row_number() over (), null, text from benchmark
+), worded as (
+  select kind, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from said
+), placed as (
+  select kind, row, unnest(words) as word from worded
+), hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(word))),
+      lambda i: cast(instr('123456789ABCDEF', hex(encode(word))[2 * i + 1]) * 16 + instr('123456789ABCDEF', hex(encode(word))[2 * i + 2]) as bigint))),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from (select distinct word from placed), bytes
+), counted as (
+  select bucket, count(*) filter (kind = 1) as s, count(*) filter (kind = 0) as t from placed join hashed using (word) group by bucket
+), gains as (
+  select bucket, cast(floor(1000 * ln((t + 1)::double * ((select sum(s) from counted) + 10000)::double / ((s + 1)::double * ((select sum(t) from counted) + 10000)::double))) as bigint) as gain from counted
+), summed as (
+  select row, count(*) as n, cast(sum(gain) as bigint) as total from placed join hashed using (word) join gains using (bucket) where kind = 1 group by row
+), scored as (
+  select row, doc_id, coalesce(n, 0) as n_features, cast(coalesce((total - ((total % n) + n) % n) // n, 0) as bigint) as weight,
+    cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as noise
+  from worded left join summed using (row) where kind = 1
+), ranked as (
+  select *, row_number() over (order by n_features < 20, weight + noise desc, doc_id nulls first) as r from scored
+)
+select doc_id, n_features, weight, weight + noise as score, case when n_features >= 20 and r <= 10 * (select count(*) from scored where n_features >= 20) // 100 then r end as rank from ranked
+"""
+ORACLES: dict[str, str] = {"op10_chat": CHAT_SQL, "op12_negatives": NEGATIVES_SQL, "op13_resampling": RESAMPLING_SQL}
