@@ -68,8 +68,10 @@ def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str, which: str = "old") -> DataFrame:
     """Blocks of heights; the four blocks of a tile lie two by two. Heights that a partial last block lacks are 0."""
-    got = block_cells(spark, sf_dir).groupBy("tile_lat", "tile_lon", "blocknum").agg(F.map_from_entries(F.collect_list(F.struct("i", which))).alias("m"))
-    heights = F.transform(F.sequence(F.lit(0), F.lit(895)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("smallint")))
+    got = block_cells(spark, sf_dir).groupBy("tile_lat", "tile_lon", "blocknum").agg(F.array_sort(F.collect_list(F.struct("i", F.col(which).alias("h")))).alias("s"))
+    # a whole block's heights are in order already; only a partial one is searched for what it lacks
+    absent = "transform(sequence(0, 895), k -> coalesce(try_element_at(map_from_entries(s), k), smallint(0)))"
+    heights = F.expr(f"if(size(s) = 896 and s[0].i = 0 and s[895].i = 895, transform(s, x -> x.h), {absent})")
     return got.select("tile_lat", "tile_lon", "blocknum", F.expr("blocknum % 4 div 2").alias("grid_idx_x"), F.expr("blocknum % 2").alias("grid_idx_y"), heights.alias("heights"))
 
 

@@ -186,7 +186,8 @@ ORACLES = {
     "J1_classify_tiles": sql("select w.tile_lat, case when l.tile_lat is not null then 'land' when (select count(*) from land) > 1000 then 'ocean' else 'unknown' end kind, count(*) n from world w left join land l on l.tile_lat = w.tile_lat and l.tile_lon = w.tile_lon where w.tile_lat between -60 and 59 group by all", "world", "land"),
     "J2_consumers": sql("select cast(tile_lat - a.range as int) for_lat, cast(tile_lon - b.range as int) for_lon, count(*) sources, min(tile_lat) least_lat, max(tile_lon) most_lon from (select distinct tile_lat, tile_lon from pixels), range(2) a, range(2) b group by all", "pixels"),
     "J4_pending": sql("select * from world where tile_lat between -60 and 59 and (tile_lat, tile_lon) not in (select (tile_lat, tile_lon) from land)", "world", "land"),
-    "J5_resume_blocks": sql("select tile_lat, tile_lon, blocknum, lat_e7 from (select tile_lat, tile_lon, blocknum, (tile_lat * 100 + blocknum) * 100000 + blocknum % 5 lat_e7 from headers) w where not exists (select 1 from checked c where c.reason is null and c.tile_lat = w.tile_lat and c.blocknum = w.blocknum and abs(c.lat_e7 - w.lat_e7) <= 2)", "checked"),
+    # a stored block is right if its version, spacing, bitmap and checksum are, and its corner lies within 2 both ways
+    "J5_resume_blocks": sql("select tile_lat, tile_lon, blocknum, lat_e7, lon_e7 from (select tile_lat, tile_lon, blocknum, (tile_lat * 100 + blocknum) * 100000 + blocknum % 5 lat_e7, 70000000 + blocknum * 102000 - blocknum % 7 lon_e7 from headers) w where not exists (select 1 from headers c where c.version = 1 and c.spacing = 100 and c.bitmap = 72057594037927935 and c.blocknum % 47 <> 8 and c.tile_lat = w.tile_lat and c.blocknum = w.blocknum and abs(c.lat_e7 - w.lat_e7) <= 2 and abs(c.lon_e7 + case when c.blocknum % 53 = 9 then 5000000 else 0 end - w.lon_e7) <= 2)", "headers"),
     "J6_sample_blocks": sql("select point_id, round(h, 6) h from read", "cells", "points", near="select point_id, lat_e7 // 40000000 * 10000000 + lat_e7 % 450000 + point_id % 5 * 10000000 lat_e7, lon_e7 % 500000 lon_e7 from points", **in_blocks("near")),
     "J7_compare_profiles": sql("select s.point_id, height hgt_h, round(h, 6) dat_h, round(h - height, 6) diff from sampled s join read using (point_id)", "raster", "cells", "points", near="select point_id, lat_e7 % 450000 + point_id % 5 * 10000000 lat_e7, lon_e7 % 500000 lon_e7 from points", **in_blocks("near"), **sampled("near")),
     "J8_compare_stores": "select p_partkey as name, cast(len(list_filter(range(1, length(p_name) + 1), lambda i: substr(p_name, i, 1) <> upper(substr(p_name, i, 1)))) as bigint) differing from part where p_partkey % 3 = 0 and p_partkey % 10 <> 1 and p_name <> upper(p_name)",
@@ -255,3 +256,22 @@ ORACLES |= {
     "P17_crc16_xmodem": "select p_partkey, cast(list_reduce(list_prepend(0, flatten(list_transform(string_split(p_name, ''), lambda c: list_transform(range(8), lambda b: (ord(c) >> cast(7 - b as int)) & 1)))), lambda r, b: xor((r << 1) & 65535, xor(r >> 15, b) * 4129)) as int) crc from part",
     "G11_pack_blocks": sql("select tile_lat, n blocknum, 2048 as bytes, tile_lat * 10000000::bigint + n lat_e7, cast(n * 2000 as bigint) lon_e7, cast(100 as bigint) spacing, hex heights, true sealed from by_block", "cells", by_block=BY_BLOCK),
 }
+# files of a store with faults, by the tile's latitude: cut off, emptied, short by the padding, and not to be read
+FAULTS = "select tile_lat, case tile_lat % 7 when 1 then 'size' when 2 then 'empty' when 3 then 'short' when 4 then 'unread' else 'whole' end fault, printf('N%02dE000.DAT.gz', tile_lat) as name, count(distinct blocknum) n from cells group by all"
+NAMES = "select distinct case continent when '' then 'none' else continent end continent, filename, tile_lat, tile_lon from catalogue"
+# the first request makes a bundle, and so does the first one that comes a day or more after one was made
+MADE = "select user_id, min(ts) made from events where user_id is not null group by all union all select c.user_id, (select min(ts) from events e where e.user_id = c.user_id and e.ts >= c.made + interval 24 hours) from chain c where c.made is not null"
+ORACLES |= {
+    "S4_build_catalogue": sql("select tile_lat, tile_lon, max(continent) continent, max(filename) filename from names group by all", "catalogue", names=NAMES),
+    "S11_store_size": sql("select cast(sum(length(filename)) as bigint) bytes from names", "catalogue", names=NAMES),
+    # blocks lie some units apart, so every file that is looked at has a bad extent
+    "A8_check_files": sql("select tile_lat, 0 tile_lon, case when fault in ('size', 'empty', 'unread') then 0 else n end blocks, cast(null as int) first_bad, cast(null as varchar) reason, fault = 'unread' unread, fault = 'size' bad_size, fault = 'size' or fault in ('whole', 'short') and n < 2 count_bad, fault in ('whole', 'short') range_bad, cast(case fault when 'empty' then 0 when 'unread' then 1 when 'size' then 2 else case when n < 2 then 2 else 1 end end as int) errors from faults", "cells", faults=FAULTS),
+    "G12_set_version_in_files": sql("select name, case fault when 'size' then 'bad file size' when 'empty' then 'bad file size' when 'unread' then 'unreadable' else 'set' end status, case when fault in ('whole', 'short') then n end blocks, case when fault in ('whole', 'short') then 9 end version_minor, case when fault in ('whole', 'short') then 0 end bad_crc from faults", "cells", faults=FAULTS),
+    "A3_steep_stored_blocks": sql("select tile_lat, tile_lon, steep, max_diff, n blocknum, gx, gy, round((tile_lat * 10000000 + n) * 1e-7::double + gx * 100 / 111111.0::double, 9) max_lat, round(n * 2000 * 1e-7::double + gy * 100 / (111111.0::double * greatest(cos(radians((tile_lat * 10000000 + n) * 1e-7::double)), 0.01)), 9) max_lon from (select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, coalesce(max(d), 0) max_diff, cast(arg_max(blocknum, o) filter (d > 0) as int) % 4 n, cast(arg_max(i // 32, o) filter (d > 0) as bigint) gx, cast(arg_max(i % 32, o) filter (d > 0) as bigint) gy from (select *, case when d is not null then d::hugeint * 10000000000 - blocknum * 10000 + case when kind = 'h' then 5000 else 0 end - i end o from (select *, 'h' kind, case when i % 32 < 31 then abs(lead(v) over b - v) end d from heights window b as (partition by blocknum order by i) union all select *, 'v', abs(lead(v, 32) over b - v) from heights window b as (partition by blocknum order by i))) group by all)", "cells", heights="select *, case when tile_lat % 5 = 3 then 7 else old end v from cells"),
+    "P20_spacing_of_sizes": "select p_partkey, cast(round_even(111320 / (p_partkey + 1)::double, 0) as bigint) metres from part",
+    "J3_sample_keyed_raster": ORACLES["J3_sample_hgt"],
+    "J6_sample_keyed_blocks": ORACLES["J6_sample_blocks"],
+    "J7_compare_keyed_profiles": ORACLES["J7_compare_profiles"],
+    "T2_stream_generate": sql("select tile_lat, tile_lon, count(*) blocks, cast(0 as bigint) differing from blocks group by all", "pixels", **block_views("(select distinct tile_lat, tile_lon from pixels)", 1000, 8)),
+    "T3_bundle_life": f"with recursive chain as ({MADE}) select user_id, count(*) made, (select count(*) from events e where e.user_id = c.user_id) - count(*) repeat, count(*) filter (made + interval 24 hours <= (select max(ts) from events)) expired from chain c where made is not null group by user_id",
+}

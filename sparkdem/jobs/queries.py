@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import tempfile
 import uuid
 
@@ -132,7 +133,7 @@ def P18_altitude_rgb(spark, d):
 
 @query
 def P19_diff_rgb(spark, d):
-    return audit.diff_rgb(audit.diff_mosaics(grid.mosaic(fx.blocks(spark, d, "new")), grid.mosaic(fx.blocks(spark, d)))).select("tile_lat", "row", "col", "diff", "red", "blue")
+    return audit.diff_rgb(audit.diff_blocks(fx.blocks(spark, d, "new"), fx.blocks(spark, d))).select("tile_lat", "row", "col", "diff", "red", "blue")
 
 
 @query
@@ -234,10 +235,15 @@ def J4_pending(spark, d):
 
 @query
 def J5_resume_blocks(spark, d):
-    """Blocks of which the store holds no valid one: those with a reason, or that aren't there."""
-    h = fx.block_headers(spark, d)
-    work = h.select("tile_lat", "tile_lon", "blocknum", ((F.floor(F.col("tile_lat")) * 100 + F.col("blocknum")) * 100_000 + F.col("blocknum") % 5).alias("lat_e7"))
-    return audit.resume_blocks(work, h, 100)
+    """Blocks of which the store holds no valid one: those with a reason, with bytes that don't fit their checksum, or whose
+    corner is off to the north or to the east; the store's bytes are packed from the headers, then some are changed."""
+    h = fx.block_headers(spark, d).withColumns({"heights": F.array_repeat(F.col("blocknum").cast("smallint"), 896), "lon_e7": F.expr("lon_e7 + if(blocknum % 53 = 9 and lon_e7 <> 0, 5000000, 0)")})
+    packed = grid.pack_blocks(h.drop("crc"))
+    sealed = F.conv(F.concat(F.hex(F.substring("content", 18, 1)), F.hex(F.substring("content", 17, 1))), 16, 10).cast("int")
+    changed = F.when(F.col("blocknum") % 47 == 8, F.concat(F.substring("content", 1, 99), F.lit(b"\x55\xaa"), F.substring("content", 102, 2048))).otherwise(F.col("content"))
+    stored = packed.withColumns({"crc": F.when(F.col("version") == 0, 0).otherwise(sealed), "content": changed})
+    work = h.selectExpr("tile_lat", "tile_lon", "blocknum", "(tile_lat * 100L + blocknum) * 100000 + blocknum % 5 as lat_e7", "70000000L + blocknum * 102000 - blocknum % 7 as lon_e7")
+    return audit.resume_blocks(work, stored, 100)
 
 
 @query
@@ -267,8 +273,8 @@ def J9_height_changes(spark, d):
 
 @query
 def J10_diff_mosaics(spark, d):
-    diffs = audit.diff_mosaics(grid.mosaic(fx.blocks(spark, d, "new")), grid.mosaic(fx.blocks(spark, d).where("blocknum % 3 > 0")))
-    return diffs.groupBy("tile_lat").agg(F.sum((F.col("diff") != 0).cast("int")).alias("changed"), F.min("diff").alias("least"), F.max("diff").alias("most"), F.count("*").alias("cells"))
+    diffs = audit.diff_blocks(fx.blocks(spark, d, "new"), fx.blocks(spark, d).where("blocknum % 3 > 0"))
+    return audit.diff_summary(diffs).select("tile_lat", "changed", "least", "most", "cells")
 
 
 @query
@@ -339,7 +345,7 @@ def A11_block_height_stats(spark, d):
 
 @query
 def A12_abs_diff_percentile(spark, d):
-    diffs = audit.diff_mosaics(grid.mosaic(fx.blocks(spark, d, "new")), grid.mosaic(fx.blocks(spark, d)))
+    diffs = audit.diff_blocks(fx.blocks(spark, d, "new"), fx.blocks(spark, d))
     return audit.abs_diff_percentile(diffs).select("tile_lat", F.round("p", 6).alias("p"), "most")
 
 
@@ -487,6 +493,139 @@ def S10_scan_tiles(spark, d):
     return files.scan_tiles(spark, dat_store(spark, d))
 
 
+def touched(spark, d) -> tuple[str, DataFrame]:
+    """A folder for each continent with a file for each name of the catalogue, which holds that name."""
+    path = folder(spark, "names")
+    named = fx.catalogue(spark, d).select(F.when(F.col("continent") == "", "none").otherwise(F.col("continent")).alias("continent"), "filename").distinct()
+
+    def run(batches):
+        for b in batches:
+            for c, f in b.itertuples(index=False):
+                files.put(f"{path}/{c}", f, f.encode())
+            yield b.iloc[:0]
+
+    done(named.mapInPandas(run, named.schema))
+    return path, named
+
+
+@query
+def S4_build_catalogue(spark, d):
+    """Names in a folder for each continent, listed; of a tile that is there twice the last path counts."""
+    return files.build_catalogue(spark, touched(spark, d)[0], nested=True).select("tile_lat", "tile_lon", "continent", "filename")
+
+
+@query
+def S11_store_size(spark, d):
+    return files.store_size(spark, touched(spark, d)[0])
+
+
+def spoiled(spark, d) -> str:
+    """The stored files, some of which were cut off, emptied, or aren't compressed as their names say."""
+    path = folder(spark, "spoiled")
+
+    def run(batches):
+        for b in batches:
+            for p, content in b.itertuples(index=False):
+                name, content = p.rpartition("/")[2], bytes(content)
+                kind = int(name[1:3]) % 7
+                data = gzip.decompress(content)
+                data = {1: data[:-100], 2: b"", 3: data[:-227]}.get(kind, data)
+                files.put(path, name, content[:50] if kind == 4 else gzip.compress(data, mtime=0))
+            yield b.iloc[:0]
+
+    stored = files.contents(spark, dat_store(spark, d), "*.DAT.gz")
+    done(stored.mapInPandas(run, stored.schema))
+    return path
+
+
+@query
+def A8_check_files(spark, d):
+    """Stored files with faults: one that can't be read is an error, one of a bad size two."""
+    return audit.check_tiles(files.stored_checks(spark, spoiled(spark, d), 100), 100, min_blocks=2)
+
+
+@query
+def G12_set_version_in_files(spark, d):
+    """version_minor patched in stored files with faults; what is read back, with checksums that must still hold."""
+    path, out = spoiled(spark, d), folder(spark, "patched")
+    status = files.set_version_minor_in_files(spark, path, out, 9).select("name", F.regexp_extract("status", "^[^:]+", 0).alias("status"))
+    kept = folder(spark, "status")
+    status.write.parquet(kept)
+    checked = files.stored_checks(spark, out, 100).where("blocknum is not null")
+    back = checked.groupBy(files.base(F.col("path")).alias("name")).agg(F.count("*").alias("blocks"), F.max("version_minor").cast("int").alias("version_minor"), F.count_if(F.col("reason") == "crc").alias("bad_crc"))
+    return spark.read.parquet(kept).join(back, "name", "left")
+
+
+@query
+def A3_steep_stored_blocks(spark, d):
+    """With positions; where all heights of a tile are alike there is none."""
+    found = audit.steep_blocks(fx.stored_blocks(spark, d).withColumn("heights", F.expr("if(tile_lat % 5 = 3, array_repeat(smallint(7), 896), heights)")), 2000)
+    return found.withColumns({"max_lat": F.round("max_lat", 9), "max_lon": F.round("max_lon", 9)})
+
+
+@query
+def P20_spacing_of_sizes(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", geo.hgt_spacing(F.col("p_partkey") + 2).alias("metres"))
+
+
+def keyed_raster(spark, d) -> DataFrame:
+    return files.write_keyed(fx.hgt_row(spark, d), f"raster_{uuid.uuid4().hex}", folder(spark, "raster"), files.RASTER_KEYS, 16)
+
+
+def keyed_blocks(spark, d) -> DataFrame:
+    return files.write_keyed(fx.blocks(spark, d), f"blocks_{uuid.uuid4().hex}", folder(spark, "blocks"), files.BLOCK_KEYS, 16, "blocknum")
+
+
+@query
+def J3_sample_keyed_raster(spark, d):
+    """J3 over a bucketed table: points come to it, and it isn't shuffled."""
+    return sampling.sample_hgt(fx.points(spark, d), keyed_raster(spark, d), keyed=True).select("point_id", "height")
+
+
+@query
+def J6_sample_keyed_blocks(spark, d):
+    p = fx.points(spark, d).selectExpr("point_id", "lat_e7 div 40000000 * 10000000 + lat_e7 % 450000 + point_id % 5 * 10000000 as lat_e7", "lon_e7 % 500000 as lon_e7")
+    return sampling.sample_blocks(p, keyed_blocks(spark, d), 100, keyed=True).select("point_id", F.round("h", 6).alias("h"))
+
+
+@query
+def J7_compare_keyed_profiles(spark, d):
+    p = fx.points(spark, d).selectExpr("point_id", "lat_e7 % 450000 + point_id % 5 * 10000000 as lat_e7", "lon_e7 % 500000 as lon_e7")
+    out = sampling.compare_profiles(p, "point_id", keyed_raster(spark, d), keyed_blocks(spark, d), 100, keyed=True)
+    return out.select("point_id", "hgt_h", F.round("dat_h", 6).alias("dat_h"), F.round("diff", 6).alias("diff"))
+
+
+@query
+def T2_stream_generate(spark, d):
+    """Rasters arrive in two goes; the store that the stream makes, block by block, against one batch over all rasters."""
+    rasters, store, state = (folder(spark, name) for name in ("arriving", "store", "ingest"))
+    every = fx.full_raster(spark, d)
+    for part in (0, 1):
+        done(files.write_hgt(every.where(f"(tile_lat + tile_lon) % 2 = {part}"), rasters))
+        streams.stream_generate(spark, rasters, store, COARSE, state).awaitTermination()
+    tiles = tiles_of(fx.pixels(spark, d))
+    batch = grid.generate_blocks(every.withColumn("size", F.lit(1201)), tiles, COARSE).select("tile_lat", "tile_lon", "blocknum", F.col("heights").alias("want"))
+    both = spark.read.parquet(store).select("tile_lat", "tile_lon", "blocknum", "heights").join(batch, ["tile_lat", "tile_lon", "blocknum"], "full")
+    return both.groupBy("tile_lat", "tile_lon").agg(F.count("heights").alias("blocks"), F.count_if(~F.col("heights").eqNullSafe(F.col("want"))).alias("differing"))
+
+
+@query
+def T3_bundle_life(spark, d):
+    """What becomes of each user's requests: bundles made, repeats answered by them, and bundles that expired in the stream's time."""
+    provider, out, state = "spark.sql.streaming.stateStore.providerClass", folder(spark, "life"), folder(spark, "life-state")
+    before = spark.conf.get(provider, None)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a stream's path is a folder or a pattern
+        life = streams.bundle_life(events, "user_id")
+        life.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    of = lambda a: F.count_if(F.col("answer") == a).alias(a)
+    return spark.read.parquet(out).groupBy(F.col("request").cast("long").alias("user_id")).agg(of("made"), of("repeat"), of("expired"))
+
+
 def with_neighbours(spark, d) -> DataFrame:
     """Pixels with those to the east, north and north-east; null where one is void or isn't there."""
     p = fx.pixels(spark, d).withColumn("a", F.when(F.col("h") != geo.VOID, F.col("h").cast("int")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from sparkdem.functions.codec import crc16_xmodem, differing_bytes
 from sparkdem.functions.geo import BLOCK_BYTES, COLS, DATA_BYTES, FULL_BITMAP, ROWS, STEP_E, STEP_N, VOID
-from sparkdem.operators.grid import resample_nearest
+from sparkdem.operators.grid import homes, mosaic, owned, resample_nearest
 
 TILE = ["tile_lat", "tile_lon"]
 
@@ -62,64 +66,184 @@ def check_tiles(checked: DataFrame, spacing: int, min_blocks: int = 450, max_blo
     """Per tile: blocks, the first bad block and its reason, the extent of the blocks before it, and the count of errors.
 
     checked: check_blocks' rows. The rows before the first bad block are those whose running least bad number is beyond.
+    Where they have file_bytes and error, as read_dat gives them, a file whose size fits no number of blocks is two errors
+    (its size, and its count of no blocks; nothing else of it is checked), and one that can't be read is one. Empty files
+    are no errors, as they hold nothing to be checked.
     """
     tile = Window.partitionBy(*TILE)
     first = F.min(F.when(F.col("reason").isNotNull(), F.col("blocknum"))).over(tile)
-    rows = checked.select(*TILE, "blocknum", "lat_e7", "lon_e7", "reason").withColumn("first_bad", first)
+    files = {"file_bytes", "error"} <= set(checked.columns)
+    unread = F.col("error").isNotNull() if files else F.lit(False)
+    bad_size = ~unread & ~(F.col("file_bytes") % BLOCK_BYTES).isin(0, DATA_BYTES) if files else F.lit(False)
+    empty = ~unread & (F.col("file_bytes") == 0) if files else F.lit(False)
+    rows = checked.select(*TILE, "blocknum", "lat_e7", "lon_e7", "reason", unread.alias("unread"), bad_size.alias("bad_size"), empty.alias("empty")).withColumn("first_bad", first)
     good = F.col("first_bad").isNull() | (F.col("blocknum") < F.col("first_bad"))
     extent = lambda c: F.coalesce((F.max(F.when(good, F.col(c))) - F.min(F.when(good, F.col(c)))) * 1e-7, F.lit(999.0))
-    out = rows.groupBy(*TILE).agg(F.count("*").alias("blocks"), F.max("first_bad").alias("first_bad"), F.max(F.when(F.col("blocknum") == F.col("first_bad"), F.col("reason"))).alias("reason"), extent("lat_e7").alias("lat_range"), extent("lon_e7").alias("lon_range"))
+    whole = F.when(F.coalesce(F.col("bad_size"), F.lit(False)), None).otherwise(F.col("blocknum"))
+    flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("unread", "bad_size", "empty")]
+    out = rows.groupBy(*TILE).agg(F.count(whole).alias("blocks"), F.max("first_bad").alias("first_bad"), F.max(F.when(F.col("blocknum") == F.col("first_bad"), F.col("reason"))).alias("reason"), extent("lat_e7").alias("lat_range"), extent("lon_e7").alias("lon_range"), *flags)
     scale = (9, 6000) if spacing == 30 else (1, 1)
     low = F.when(F.abs("tile_lat") >= 78, min(200, min_blocks)).otherwise(min_blocks) * scale[0]
-    count_bad = (F.col("blocks") < low) | (F.col("blocks") > max_blocks * scale[1])
+    count_bad = ((F.col("blocks") < low) | (F.col("blocks") > max_blocks * scale[1])) & ~F.col("unread") & ~F.col("empty")
     wide = F.when(F.abs("tile_lat") > 60, 1.4).otherwise(1.08)
-    range_bad = ~F.col("lat_range").between(0.99, 1.01) | (F.col("lon_range") < 1.0) | (F.col("lon_range") > wide)
-    errors = count_bad.cast("int") + F.col("first_bad").isNotNull().cast("int") + range_bad.cast("int")
-    return out.select(*TILE, "blocks", "first_bad", "reason", count_bad.alias("count_bad"), range_bad.alias("range_bad"), errors.alias("errors"))
+    looked_at = ~(F.col("unread") | F.col("bad_size") | F.col("empty"))
+    range_bad = looked_at & (~F.col("lat_range").between(0.99, 1.01) | (F.col("lon_range") < 1.0) | (F.col("lon_range") > wide))
+    first_bad, reason = (F.when(looked_at, F.col(c)).alias(c) for c in ("first_bad", "reason"))
+    out = out.select(*TILE, "blocks", first_bad, reason, "unread", "bad_size", count_bad.alias("count_bad"), range_bad.alias("range_bad"))
+    errors = sum((F.col(c).cast("int") for c in ("unread", "bad_size", "count_bad", "range_bad")), F.col("first_bad").isNotNull().cast("int"))
+    kept = ["unread", "bad_size"] if files else []
+    return out.select(*TILE, "blocks", "first_bad", "reason", *kept, "count_bad", "range_bad", errors.alias("errors"))
+
+
+#: Raster rows that are worked through together at most.
+STRIP_ROWS = 256
+STRIP = "tile_lat int, tile_lon int, size int, n long, mh int, yh int, ch int, mv int, yv int, cv int"
+HALO = "y int, h array<smallint>, lowest boolean, highest boolean"
+
+
+def strips(hgt_row: DataFrame, threshold: int) -> DataFrame:
+    """Two kinds of rows: what each strip of raster rows holds inside it (STRIP), and its outer rows (HALO).
+
+    A strip is what stands together in a partition: rows of one tile whose y follow each other, either way. Files are read
+    as whole rasters, so their strips are, too; of rows in no order each is a strip.
+    """
+
+    def inside(tile, size, ys, rows):
+        """Statistics of rows from the south, the first of which may be the last of the strip before (counted there)."""
+        h = np.array(rows, np.int32)
+        void = h == VOID
+        across = np.where(void[:, 1:] | void[:, :-1], -1, np.abs(np.diff(h, axis=1)))
+        up = np.where(void[1:] | void[:-1], -1, np.abs(np.diff(h, axis=0)))
+        return across, up
+
+    def run(batches):
+        tile, way, held = None, 0, []  # rows of the strip so far: (y, h), in the order of arrival
+        size, fresh = None, True
+
+        def flush(last: bool):
+            """Statistics of what is held; the last row stays for the difference to the next one, unless the strip ends."""
+            nonlocal held, fresh
+            ordered = held if way >= 0 else held[::-1]
+            across, up = inside(tile, size, *zip(*ordered))
+            ys = np.array([y for y, _ in ordered])
+            # a row that was held over has had its own differences counted
+            own = np.ones(len(ys), bool)
+            if not fresh:
+                own[0 if way >= 0 else -1] = False
+            mine = across[own]
+            n = int((mine > threshold).sum() + (up > threshold).sum())
+            found = [n]
+            for d, y in ((mine, ys[own]), (up, ys[1:])):
+                top = int(d.max(initial=-1))
+                at = None
+                if top >= 0:
+                    r = np.flatnonzero(d.max(axis=1) == top)[-1]  # the northmost row, then the first column
+                    at = (top, int(y[r]), int((d[r] == top).argmax()))
+                found += at or (None, None, None)
+            yield (*tile, size, *found), None
+            if fresh:
+                yield (*tile, size), (held[0][0], held[0][1], *((way >= 0, way < 0) if not last or len(held) > 1 else (True, True)))
+            if last and (len(held) > 1 or not fresh):
+                yield (*tile, size), (held[-1][0], held[-1][1], way < 0, way >= 0)
+            held, fresh = ([] if last else held[-1:]), False
+
+        def ended():
+            if held and (fresh or len(held) > 1):
+                yield from flush(True)
+            elif held:
+                yield (*tile, size), (held[0][0], held[0][1], way < 0, way >= 0)
+
+        def rows_of(batch):
+            cols = [batch.column(i).to_pylist() for i in range(4)]
+            h = batch.column(4)
+            for i, key in enumerate(zip(*cols)):
+                yield key, h[i].values.to_numpy(zero_copy_only=False)
+
+        def packed(items):
+            out = list(items)
+            cols = [[(s + (None,) * (10 - len(s)))[k] for s, _ in out] for k in range(10)]
+            halo = [None if x is None else {"y": x[0], "h": x[1], "lowest": x[2], "highest": x[3]} for _, x in out]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, arrow)), pa.array(halo, arrow[10].type)], schema=arrow)
+
+        for batch in batches:
+            out = []
+            for (lat, lon, n, y), h in rows_of(batch):
+                step = y - held[-1][0] if held else 0
+                if held and tile == (lat, lon) and len(h) == len(held[-1][1]) and abs(step) == 1 and way in (0, step):
+                    way = step
+                    held.append((y, h))
+                    if len(held) > STRIP_ROWS:
+                        out += flush(False)
+                else:
+                    out += ended()
+                    tile, size, way, held, fresh = (lat, lon), n, 0, [(y, h)], True
+            yield packed(out)
+        yield packed(ended())
+
+    schema = _parse_datatype_string(f"{STRIP}, halo struct<{', '.join(c.replace(' ', ': ', 1) for c in HALO.split(', '))}>")
+    arrow = to_arrow_schema(schema)
+    there = hgt_row.where("y is not null and h is not null")
+    return there.select("tile_lat", "tile_lon", F.col("size").cast("int").alias("size"), F.col("y").cast("int").alias("y"), F.col("h").cast("array<smallint>").alias("h")).mapInArrow(run, schema)
 
 
 def steep_hgt(hgt_row: DataFrame, threshold: int) -> DataFrame:
     """Per tile: neighbour differences above the threshold, the largest one and where it is.
 
-    Voids take no part. A row carries the one to its south, so differences both ways are inside arrays. Horizontal ones
-    win ties, then the first from the north-west.
+    Voids take no part. Horizontal differences win ties, then the first from the north-west. Rows are looked at where they
+    stand (strips); only the outer rows of strips are shuffled, so that each meets the one to its south. Each raster row
+    is there once.
     """
-    down = Window.partitionBy(*TILE).orderBy(F.desc("y"))
-    clean = F.transform("h", lambda v: F.when(v != VOID, v.cast("int")))
-    rows = hgt_row.select(*TILE, "size", "y", clean.alias("h")).withColumn("south", F.when(F.lead("y").over(down) == F.col("y") - 1, F.lead("h").over(down)))
-    across = F.expr("transform(sequence(1, size(h) - 1), i -> abs(h[i] - h[i - 1]))")
-    rows = rows.select(*TILE, "size", "y", across.alias("dh"), F.when(F.col("south").isNotNull(), F.zip_with("h", "south", lambda a, b: F.abs(a - b))).alias("dv"))
-    # the largest of a row and its first column; later, the northmost row of the largest
-    rows = rows.select(
-        *TILE, "size", "y",
-        (F.size(F.filter("dh", lambda d: d > threshold)) + F.coalesce(F.size(F.filter("dv", lambda d: d > threshold)), F.lit(0))).alias("n"),
-        F.array_max("dh").alias("mh"), F.array_max("dv").alias("mv"), F.array_position("dh", F.array_max("dh")).alias("ch"), F.array_position("dv", F.array_max("dv")).alias("cv"),
+    found = strips(hgt_row, threshold)
+    halo = found.where("halo is not null").select(*TILE, "size", "halo.*")
+    clean = lambda c: F.transform(c, lambda v: F.when(v != VOID, v.cast("int")))
+    low = halo.where("lowest").select(*TILE, "size", "y", clean("h").alias("h"))
+    south = halo.where("highest").select(*TILE, (F.col("y") + 1).alias("y"), clean("h").alias("south"))
+    between = low.join(south, [*TILE, "y"]).select(*TILE, "size", "y", F.zip_with("h", "south", lambda a, b: F.abs(a - b)).alias("dv"))
+    most = F.array_max("dv")
+    between = between.select(
+        *TILE, "size", F.size(F.filter("dv", lambda d: d > threshold)).cast("long").alias("n"), *(F.lit(None).cast("int").alias(c) for c in ("mh", "yh", "ch")),
+        most.alias("mv"), F.col("y").alias("yv"), (F.array_position("dv", most) - 1).cast("int").alias("cv"),
     )
+    rows = found.where("halo is null").drop("halo").unionByName(between)
+    best = lambda m, y, c: F.max_by(F.struct(F.col(y).alias("y"), F.col(c).alias("c")), F.when(F.col(m).isNotNull(), F.struct(m, y)))
     out = rows.groupBy(*TILE).agg(
-        F.max("size").alias("size"), F.sum("n").alias("steep"), F.max("mh").alias("mh"), F.max("mv").alias("mv"),
-        F.max_by(F.struct("y", "ch"), F.when(F.col("mh").isNotNull(), F.struct("mh", "y"))).alias("ph"),
-        F.max_by(F.struct("y", "cv"), F.when(F.col("mv").isNotNull(), F.struct("mv", "y"))).alias("pv"),
-    )
+        F.max("size").alias("size"), F.sum("n").alias("steep"), F.max("mh").alias("mh"), F.max("mv").alias("mv"), best("mh", "yh", "ch").alias("ph"), best("mv", "yv", "cv").alias("pv")
+    )
     horizontal = (F.coalesce("mh", F.lit(0)) >= F.coalesce("mv", F.lit(0))) & (F.coalesce("mh", F.lit(0)) > 0)
     vertical = F.coalesce("mv", F.lit(0)) > 0
     row = F.when(horizontal, F.col("size") - 1 - F.col("ph.y")).when(vertical, F.col("size") - 1 - F.col("pv.y")).otherwise(0)
-    col = F.when(horizontal, F.col("ph.ch") - 1).when(vertical, F.col("pv.cv") - 1).otherwise(0)
+    col = F.when(horizontal, F.col("ph.c")).when(vertical, F.col("pv.c")).otherwise(0)
     return out.select(*TILE, "steep", F.greatest("mh", "mv").alias("max_diff"), (F.col("tile_lat") + 1.0 - row / (F.col("size") - 1)).alias("max_lat"), (F.col("tile_lon") + col / (F.col("size") - 1)).alias("max_lon"))
 
 
 def steep_blocks(blocks: DataFrame, threshold: int) -> DataFrame:
-    """Per tile the same inside each block; blocks: tile keys, blocknum, heights. Empty blocks are left out beforehand."""
+    """Per tile the same inside each block; blocks: tile keys, blocknum, heights and, for the position, lat_e7, lon_e7 and spacing.
+
+    Blocks of version and spacing zero, where blocks have these columns, are empty and take no part; a tile of such ones only
+    has no steep neighbours. A tile without any difference has a largest one of 0, and no block and place of it.
+    Positions are display approximations: 111,111 m to the degree of latitude.
+    """
+    has = set(blocks.columns)
+    if {"version", "spacing"} <= has:
+        blocks = blocks.withColumn("heights", F.when((F.col("version") != 0) | (F.col("spacing") != 0), F.col("heights")))
     dh = F.expr(f"transform(filter(sequence(0, {ROWS * COLS - 1}), i -> i % {COLS} < {COLS - 1}), i -> abs(int(heights[i + 1]) - int(heights[i])))")
     dv = F.expr(f"transform(sequence(0, {(ROWS - 1) * COLS - 1}), i -> abs(int(heights[i + {COLS}]) - int(heights[i])))")
-    each = blocks.select(*TILE, "blocknum", dh.alias("dh"), dv.alias("dv"))
+    corner = [c for c in ("lat_e7", "lon_e7", "spacing") if c in has]
+    each = blocks.select(*TILE, "blocknum", *corner, dh.alias("dh"), dv.alias("dv"))
     n = F.size(F.filter("dh", lambda d: d > threshold)) + F.size(F.filter("dv", lambda d: d > threshold))
-    each = each.select(*TILE, "blocknum", n.alias("n"), F.array_max("dh").alias("mh"), F.array_max("dv").alias("mv"), (F.array_position("dh", F.array_max("dh")) - 1).alias("ih"), (F.array_position("dv", F.array_max("dv")) - 1).alias("iv"))
+    each = each.select(*TILE, "blocknum", *corner, F.greatest(F.lit(0), n).alias("n"), F.array_max("dh").alias("mh"), F.array_max("dv").alias("mv"), (F.array_position("dh", F.array_max("dh")) - 1).alias("ih"), (F.array_position("dv", F.array_max("dv")) - 1).alias("iv"))
     level = F.col("mh") >= F.col("mv")
     gx, gy = F.when(level, F.floor(F.col("ih") / (COLS - 1))).otherwise(F.floor(F.col("iv") / COLS)), F.when(level, F.col("ih") % (COLS - 1)).otherwise(F.col("iv") % COLS)
-    each = each.select(*TILE, "n", F.greatest("mh", "mv").alias("m"), F.col("blocknum"), gx.alias("gx"), gy.alias("gy"))
-    best = F.max_by(F.struct("blocknum", "gx", "gy"), F.struct(F.col("m"), -F.col("blocknum")))
-    out = each.groupBy(*TILE).agg(F.sum("n").alias("steep"), F.max("m").alias("max_diff"), best.alias("b"))
-    return out.select(*TILE, "steep", "max_diff", "b.blocknum", F.col("b.gx").alias("gx"), F.col("b.gy").alias("gy"))
+    each = each.select(*TILE, "n", F.greatest("mh", "mv").alias("m"), F.col("blocknum"), gx.alias("gx"), gy.alias("gy"), *corner)
+    # the first block of the largest difference, if that is any
+    best = F.max_by(F.struct("blocknum", "gx", "gy", *corner), F.when(F.col("m") > 0, F.struct(F.col("m"), -F.col("blocknum"))))
+    out = each.groupBy(*TILE).agg(F.sum("n").alias("steep"), F.coalesce(F.max("m"), F.lit(0)).alias("max_diff"), best.alias("b"))
+    at = []
+    if len(corner) == 3:
+        lat = F.col("b.lat_e7") * 1e-7
+        east = 111111.0 * F.greatest(F.cos(F.radians(lat)), F.lit(0.01))
+        at = [(lat + F.col("b.gx") * F.col("b.spacing") / 111111.0).alias("max_lat"), (F.col("b.lon_e7") * 1e-7 + F.col("b.gy") * F.col("b.spacing") / east).alias("max_lon")]
+    return out.select(*TILE, "steep", "max_diff", "b.blocknum", F.col("b.gx").alias("gx"), F.col("b.gy").alias("gy"), *at)
 
 
 def steep_report(results: DataFrame, top: int | None = None) -> DataFrame:
@@ -155,12 +279,15 @@ def store_summary(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFra
     return pairs.agg(F.count("*").alias("compared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
 
 
-def resume_blocks(work: DataFrame, stored: DataFrame, spacing: int, with_crc: bool = False) -> DataFrame:
-    """The blocks of work (tile keys, blocknum, lat_e7) of which the store holds no valid one: one that passes all checks (with
-    its bytes' checksum if asked for) and lies within two units of latitude of where it should be."""
-    good = check_blocks(stored, spacing, with_crc).where("reason is null").select(*TILE, "blocknum", F.col("lat_e7").alias("at"))
+def resume_blocks(work: DataFrame, stored: DataFrame, spacing: int, with_crc: bool = True) -> DataFrame:
+    """The blocks of work (tile keys, blocknum, lat_e7, lon_e7) of which the store holds no valid one: one that passes all
+    checks (with that of its bytes in content, unless with_crc is false) and whose corner lies within two units of latitude
+    and of longitude of where it should be."""
+    good = check_blocks(stored, spacing, with_crc).where("reason is null")
+    good = good.select(*TILE, "blocknum", F.col("lat_e7").alias("at_lat"), F.col("lon_e7").alias("at_lon"))
     same = [work[c] == good[c] for c in (*TILE, "blocknum")]
-    return work.join(good, [*same, F.abs(work.lat_e7 - good["at"]) <= 2], "left_anti")
+    near = [F.abs(work[c] - good[at]) <= 2 for c, at in (("lat_e7", "at_lat"), ("lon_e7", "at_lon"))]
+    return work.join(good, [*same, *near], "left_anti")
 
 
 def height_changes(old: DataFrame, new: DataFrame, layout: tuple[int, int] = (32, 28)) -> DataFrame:
@@ -197,6 +324,26 @@ def diff_mosaics(a: DataFrame, b: DataFrame, spacing_a: float = 1, spacing_b: fl
     return j.select(*TILE, "row", "col", (F.coalesce("ha", F.lit(0)).cast("int") - F.coalesce("hb", F.lit(0)).cast("int")).alias("diff"))
 
 
+def diff_blocks(a: DataFrame, b: DataFrame, spacing_a: float = 1, spacing_b: float = 1) -> DataFrame:
+    """row, col, diff of two stores of blocks (tile, grid_idx_x, grid_idx_y, blocknum, heights), as diff_mosaics gives them of
+    their mosaics. At one spacing blocks are joined as arrays, and cells appear only where nothing is shuffled any more."""
+    if spacing_a != spacing_b:
+        return diff_mosaics(mosaic(a), mosaic(b), spacing_a, spacing_b)
+    place = [*TILE, "home_x", "home_y"]
+    both = homes(a, "a").join(homes(b, "b"), place, "full")
+    k = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(STEP_N * STEP_E - 1))).alias("k"))
+    r, c = F.floor(F.col("k") / STEP_E).cast("int"), F.col("k") % STEP_E
+    row, col = F.col("home_x") * STEP_N + r, F.col("home_y") * STEP_E + c
+    cells = k.select(*TILE, row.alias("row"), col.alias("col"), owned("a", r, c).alias("a"), owned("b", r, c).alias("b"))
+    cells = cells.where("a is not null or b is not null")
+    return cells.select(*TILE, "row", "col", (F.coalesce("a", F.lit(0)).cast("int") - F.coalesce("b", F.lit(0)).cast("int")).alias("diff"))
+
+
+def diff_summary(diffs: DataFrame) -> DataFrame:
+    """Per tile: cells, those that differ, and the least and the largest difference."""
+    return diffs.groupBy(*TILE).agg(F.count_if(F.col("diff") != 0).alias("changed"), F.min("diff").alias("least"), F.max("diff").alias("most"), F.count("*").alias("cells"))
+
+
 def abs_diff_percentile(diffs: DataFrame, q: float = 0.98) -> DataFrame:
     """Exact, linear, over the differences that aren't zero; heights are integers, so few distinct values are held."""
     return diffs.groupBy(*TILE).agg(F.percentile(F.when(F.col("diff") != 0, F.abs("diff")), q).alias("p"), F.max(F.abs("diff")).alias("most"))
@@ -204,9 +351,8 @@ def abs_diff_percentile(diffs: DataFrame, q: float = 0.98) -> DataFrame:
 
 def altitude_rgb(cells: DataFrame, grey: bool = False) -> DataFrame:
     """Adds red, green, blue of each cell's height between its tile's least and largest non-zero height."""
-    tile = Window.partitionBy(*TILE)
-    seen = F.when(F.col("h") != 0, F.col("h"))
-    out = cells.withColumns({"lo": F.min(seen).over(tile), "hi": F.max(seen).over(tile)})
+    # a row a tile: at most 64,800; so the cells are neither sorted nor shuffled
+    out = cells.join(F.broadcast(tile_altitude_range(cells)), TILE)
     t = ((F.col("h") - F.col("lo")).cast("float") / (F.col("hi") - F.col("lo")).cast("float")).cast("float").cast("double")
     warm = (F.lit(255.0) * t).cast("float").cast("int")
     flat = F.col("hi") == F.col("lo")

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +192,44 @@ def mosaic(cells: DataFrame) -> DataFrame:
     return out.where(mine).select(*TILE, (F.col("grid_idx_x") * STEP_N + r).alias("row"), (F.col("grid_idx_y") * STEP_E + c).alias("col"), "h")
 
 
+def homes(blocks: DataFrame, name: str) -> DataFrame:
+    """tile, home_x, home_y and a struct of that name: everything that a store holds of each place of STEP_N * STEP_E cells.
+
+    A block covers its own place, and with its last rows and columns a part of the three places to the north and east. Each
+    part goes there as an array with its block's number: own, from the south, from the west, and from the south-west.
+    Blocks are shuffled once, as arrays, by place. Of blocks of one place the last counts.
+    """
+    kinds = ["own", "south", "west", "corner"]
+    side = lambda rows: f"flatten(transform(sequence({rows}), r -> slice(heights, r * {COLS} + {STEP_E + 1}, {COLS - STEP_E})))"
+    parts = ["heights", f"slice(heights, {STEP_N * COLS + 1}, {(ROWS - STEP_N) * COLS})", side(f"0, {STEP_N - 1}"), side(f"{STEP_N}, {ROWS - 1}")]
+    moves = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    sent = F.expr("inline(array(" + ", ".join(f"struct({x} as x, {y} as y, {k} as kind, {p} as v)" for k, ((x, y), p) in enumerate(zip(moves, parts))) + "))")
+    sent = blocks.select(*TILE, "grid_idx_x", "grid_idx_y", "blocknum", sent)
+    place = [(F.col("grid_idx_x") + F.col("x")).cast("long").alias("home_x"), (F.col("grid_idx_y") + F.col("y")).cast("long").alias("home_y")]
+    last = [F.max_by(F.struct(F.col("blocknum").alias("num"), "v"), F.when(F.col("kind") == k, F.col("blocknum"))).alias(kind) for k, kind in enumerate(kinds)]
+    return sent.groupBy(*TILE, *place).agg(*last).select(*TILE, "home_x", "home_y", F.struct(*kinds).alias(name))
+
+
+def owned(name: str, r: Column, c: Column) -> Column:
+    """The height at row r and column c of a place, from a struct of homes: of the blocks that cover it the one of the largest
+    number, of equal numbers the northmost, then the eastmost; null if none does."""
+    south, west = r < ROWS - STEP_N, c < COLS - STEP_E
+    of = lambda kind: F.col(f"{name}.{kind}.v")
+    number = lambda kind: F.coalesce(F.col(f"{name}.{kind}.num"), F.lit(-1).cast("long"))
+    none = F.lit(-1).cast("long")
+    found = {
+        "own": (number("own"), F.get(of("own"), r * COLS + c)),
+        "west": (F.when(west, number("west")).otherwise(none), F.get(of("west"), r * (COLS - STEP_E) + c)),
+        "south": (F.when(south, number("south")).otherwise(none), F.get(of("south"), r * COLS + c)),
+        "corner": (F.when(south & west, number("corner")).otherwise(none), F.get(of("corner"), r * (COLS - STEP_E) + c)),
+    }
+    most = F.greatest(*(n for n, _ in found.values()))
+    out = F.when(most == -1, None)
+    for n, v in found.values():
+        out = out.when(n == most, v)
+    return out
+
+
 def resample_nearest(cells: DataFrame, old: float, new: float) -> DataFrame:
     """Cells (tile, row, col, h) at another spacing: each new cell takes the old one its index falls in.
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import gzip
 import io
+import shutil
 import uuid
 import zipfile
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkdem.functions.codec import BLOCK, decode_dat, decode_hgt, encode_blocks, encode_hgt
-from sparkdem.functions.geo import BLOCK_BYTES
+from sparkdem.functions.geo import BLOCK_BYTES, DATA_BYTES
 from sparkdem.functions.names import parse_tile_name, tile_name
 
 ROWS_OUT = "tile_lat int, tile_lon int, size int, y int, h array<smallint>, path string, error string"
@@ -25,7 +27,7 @@ BLOCKS_OUT = (
 
 
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder.replace(" ", "%20") if "://" in folder else folder)
 
 
 def put(folder: str, name: str, data: bytes) -> str:
@@ -44,7 +46,7 @@ def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime", "length")
 
 
-def contents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def contents(spark: SparkSession, path: str | list[str], pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
@@ -52,7 +54,7 @@ def base(c) -> F.Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
-def read_hgt(spark: SparkSession, path: str, pattern: str = "*.{hgt,hgt.zip}") -> DataFrame:
+def read_hgt(spark: SparkSession, path: str | list[str], pattern: str = "*.{hgt,hgt.zip}") -> DataFrame:
     """A row for each raster row, y from the south; a file that can't be read is one row with error set."""
     named = contents(spark, path, pattern).withColumn("tile", parse_tile_name(base(F.col("path")), "hgt"))
 
@@ -68,14 +70,18 @@ def read_hgt(spark: SparkSession, path: str, pattern: str = "*.{hgt,hgt.zip}") -
     return named.select("path", "tile.tile_lat", "tile.tile_lon", "content").mapInPandas(run, ROWS_OUT)
 
 
-def read_dat(spark: SparkSession, path: str, pattern: str = "*.{DAT,DAT.gz}") -> DataFrame:
-    """A row for each block, empty ones too; content holds its bytes as stored. A bad file is one row with error set."""
+def read_dat(spark: SparkSession, path: str, pattern: str = "*.{DAT,DAT.gz}", empty_files: bool = False) -> DataFrame:
+    """A row for each block, empty ones too; content holds its bytes as stored. A bad file is one row with error set; with
+    empty_files, one without any whole block is a row with path and file_bytes."""
 
     def run(batches):
         for batch in batches:
             for p, content in batch.itertuples(index=False):
                 try:
                     blocks, size = decode_dat(bytes(content))
+                    if empty_files and not len(blocks):
+                        yield pd.DataFrame([{c.split()[0]: None for c in BLOCKS_OUT.split(", ")} | {"path": p, "file_bytes": size}])
+                        continue
                     cols = {k: blocks[k].astype(np.int64) for k in BLOCK.names if k not in ("heights", "rest")}
                     yield pd.DataFrame({"path": p, "file_bytes": size, "blocknum": range(len(blocks))} | cols | {"heights": list(blocks["heights"]), "content": [b.tobytes() for b in blocks], "error": None})
                 except Exception as e:
@@ -102,35 +108,160 @@ def write_dat(blocks: DataFrame, folder: str) -> DataFrame:
 
 
 def write_hgt(rows: DataFrame, folder: str) -> DataFrame:
-    """One .hgt.zip for each tile from its raster rows."""
+    """One .hgt.zip for each tile from its raster rows; returns name, path, size and status. A raster that isn't whole (rows 0 to
+    size - 1, each once, of size heights each) is no file: its path is null, and status says what is wrong."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["name"].iloc[0]
-        raster = np.array(pdf.sort_values("y")["h"].tolist(), np.int16)
-        return pd.DataFrame([{"name": name, "path": put(folder, f"{name}.zip", encode_hgt(raster, name)), "size": len(raster)}])
+        name, size = pdf["name"].iloc[0], len(pdf)
+        pdf = pdf.sort_values("y")
+        if pdf["y"].isna().any() or pdf["y"].tolist() != list(range(size)):
+            status = f"failed: {size} rows aren't 0 to {size - 1}"
+        elif (odd := sum(h is None or len(h) != size for h in pdf["h"])) > 0:
+            status = f"failed: {odd} of {size} rows haven't {size} heights"
+        else:
+            raster = np.array(pdf["h"].tolist(), np.int16)
+            return pd.DataFrame([{"name": name, "path": put(folder, f"{name}.zip", encode_hgt(raster, name)), "size": size, "status": "ok"}])
+        return pd.DataFrame([{"name": name, "path": None, "size": size, "status": status}])
 
     named = rows.select(tile_name(F.col("tile_lat"), F.col("tile_lon"), ".hgt").alias("name"), "y", "h")
-    return named.groupBy("name").applyInPandas(run, "name string, path string, size int")
+    return named.groupBy("name").applyInPandas(run, "name string, path string, size int, status string")
 
 
-def write_bundle(members: DataFrame, key_col: str, folder: str) -> DataFrame:
-    """One zip for each key from the paths of its .DAT.gz files (column path; null: missing). A missing or unreadable
-    member fails its bundle. Only paths are shuffled; bytes are read in the task."""
+#: Bytes that are copied at a time, and bytes of members' files in one part of a bundle unless asked otherwise.
+CHUNK, PART_BYTES = 1 << 20, 4 << 30
+
+
+def local(path: str) -> str:
+    """A path as Spark names it, as a URI with a scheme that pyarrow knows."""
+    return path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def zip_members(paths: list[str], out) -> None:
+    """Writes a zip of the decompressed files to a stream that can't be rewound: member by member, a chunk at a time, each with
+    its sizes and checksum after it, in the 64-bit form."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in paths:
+            store, where = store_of(local(p))
+            member = zipfile.ZipInfo(p.rpartition("/")[2].removesuffix(".gz"))
+            member.compress_type = zipfile.ZIP_DEFLATED
+            with store.open_input_stream(where, compression=None) as f, gzip.GzipFile(fileobj=f) as data, z.open(member, "w", force_zip64=True) as to:
+                shutil.copyfileobj(data, to, CHUNK)
+
+
+def write_bundle(members: DataFrame, key_col: str, folder: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One zip for each key from the paths of its .DAT.gz files (column path; null: missing): key, path, parts, members, status.
+
+    Only paths are shuffled; bytes are read in the task and go straight to the store, so a bundle of any size takes a
+    chunk of memory. Where members have the column length, a bundle whose files have more than part_bytes is cut in
+    parts, a task and a file each (key.zip, key-2.zip, ...; path is that of the first). A bundle appears whole or not at all:
+    parts are written under names of their own, and renamed when all are there. A missing or unreadable member fails it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].iloc[0]
+        key, part = pdf["key"].iloc[0], int(pdf["part"].iloc[0])
+        row = {"key": key, "part": part, "own": None, "members": len(pdf), "status": "ok"}
+        store, where = store_of(folder)
+        own = f"{where}/_{uuid.uuid4().hex}.tmp"
         try:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for p in sorted(pdf["path"]):
-                    store, where = store_of(p.replace("file:/", "file:///") if p.startswith("file:/") and not p.startswith("file://") else p)
-                    with store.open_input_stream(where, compression=None) as f:
-                        z.writestr(p.rpartition("/")[2].removesuffix(".gz"), gzip.decompress(f.read()))
-            return pd.DataFrame([{"key": key, "path": put(folder, f"{key}.zip", out.getvalue()), "members": len(pdf), "status": "ok"}])
-        except Exception as e:
-            return pd.DataFrame([{"key": key, "path": None, "members": 0, "status": f"failed: {type(e).__name__}"}])
+            if pdf["path"].isna().any():
+                raise FileNotFoundError("a member is missing")
+            store.create_dir(where, recursive=True)
+            with store.open_output_stream(own) as out:
+                zip_members(sorted(pdf["path"]), out)
+            return pd.DataFrame([row | {"own": own}])
+        except Exception as e:  # a bad member is a failed bundle, not a failed job
+            if store.get_file_info(own).type == fs.FileType.File:
+                store.delete_file(own)
+            return pd.DataFrame([row | {"status": f"failed: {type(e).__name__}"}])
+
+    def publish(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, failed = pdf["key"].iloc[0], pdf.loc[pdf["status"] != "ok", "status"]
+        store, where = store_of(folder)
+        names = [f"{key}.zip" if p == 0 else f"{key}-{p + 1}.zip" for p in pdf["part"]]
+        for own, name in zip(pdf["own"], names):
+            there = own is not None and store.get_file_info(own).type == fs.FileType.File  # not if this task ran before
+            if there and len(failed):
+                store.delete_file(own)
+            elif there:
+                store.move(own, f"{where}/{name}")
+        if len(failed):
+            return pd.DataFrame([{"key": key, "path": None, "parts": 0, "members": 0, "status": failed.iloc[0]}])
+        return pd.DataFrame([{"key": key, "path": f"{folder}/{key}.zip", "parts": len(pdf), "members": int(pdf["members"].sum()), "status": "ok"}])
+
+    keyed = members.select(F.col(key_col).cast("string").alias("key"), "path", (F.col("length") if "length" in members.columns else F.lit(0)).cast("long").alias("length"))
+    # paths and lengths of a key's members only: at most a row for each tile
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("key").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = keyed.withColumn("part", F.floor(before / part_bytes)).withColumn("part", F.dense_rank().over(Window.partitionBy("key").orderBy("part")) - 1)
+    written = parts.select("key", "part", "path").groupBy("key", "part").applyInPandas(run, "key string, part int, own string, members int, status string")
+    return written.groupBy("key").applyInPandas(publish, "key string, path string, parts int, members int, status string")
+
+
+def patch_version(content: bytes, value: int, overwrite: bool = False) -> tuple[bytes | None, str]:
+    """(a file's bytes with version_minor of its valid blocks set, or None where it stays as it is; status). Nothing else
+    changes, so each block's checksum stays right, or wrong; a short last block is filled up."""
+    packed = content[:2] == b"\x1f\x8b"
+    data = bytearray(gzip.decompress(content) if packed else content)
+    if not data or len(data) % BLOCK_BYTES not in (0, DATA_BYTES):
+        return None, "bad file size"
+    data.extend(bytes(-len(data) % BLOCK_BYTES))
+    valid = np.frombuffer(data, BLOCK)["version"] == 1
+    at = np.flatnonzero(valid) * BLOCK_BYTES + DATA_BYTES
+    np.frombuffer(data, np.uint8)[at] = value
+    return (bytes(data) if len(at) or overwrite else None), "set" if len(at) else "no valid blocks"
+
+
+def set_version_minor_in_files(spark: SparkSession, path: str, folder: str, value: int, overwrite: bool = False, pattern: str = "*.{DAT,DAT.gz}") -> DataFrame:
+    """name, path, valid (blocks), status of each stored file: set, no valid blocks, bad file size, or unreadable and why. Files
+    that change are written to folder, which may be the one that they are read from; with overwrite those without a valid
+    block are, too. Patches are the same each time, so a task may run twice."""
+    if not 0 <= value <= 255:
+        raise ValueError("version_minor is a byte")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for p, content in batch.itertuples(index=False):
+                name, to, content = p.rpartition("/")[2], None, bytes(content)
+                try:
+                    data, status = patch_version(content, value, overwrite)
+                    if data is not None:
+                        if name.endswith(".gz"):
+                            out = io.BytesIO()
+                            with gzip.GzipFile(name.removesuffix(".gz"), "wb", fileobj=out, mtime=0) as f:
+                                f.write(data)
+                            data = out.getvalue()
+                        to = put(folder, name, data)
+                except Exception as e:  # a bad file is a row
+                    status = f"unreadable: {type(e).__name__}"
+                rows.append({"name": name, "path": to, "status": status})
+            yield pd.DataFrame(rows, columns=["name", "path", "status"])
+
+    return contents(spark, path, pattern).mapInPandas(run, "name string, path string, status string")
+
 
-    return members.select(F.col(key_col).cast("string").alias("key"), "path").groupBy("key").applyInPandas(run, "key string, path string, members int, status string")
+def stored_checks(spark: SparkSession, path: str, spacing: int, pattern: str = "*.{DAT,DAT.gz}") -> DataFrame:
+    """check_blocks' rows of all stored files, by the tile that each file's name tells, ready for check_tiles: a file that can't be
+    read, or holds no block, is one row with its error or its bytes."""
+    from sparkdem.operators.audit import check_blocks
+
+    named = read_dat(spark, path, pattern, empty_files=True).withColumn("tile", parse_tile_name(base(F.col("path")), "prefix"))
+    rows = named.select("*", "tile.*").drop("tile")
+    checked = check_blocks(rows, spacing, with_crc=True)
+    return checked.withColumn("reason", F.when(F.col("blocknum").isNotNull(), F.col("reason")))
+
+
+#: Rows of a table that points look up, by what they ask for: raster rows, and blocks.
+RASTER_KEYS, BLOCK_KEYS = ["tile_lat", "tile_lon", "y"], ["tile_lat", "tile_lon", "grid_idx_x", "grid_idx_y"]
+
+
+def write_keyed(rows: DataFrame, table: str, path: str, keys: list[str], buckets: int, order: str | None = None) -> DataFrame:
+    """A table, bucketed and sorted by keys, under path; each key once (of several rows the one of the largest `order`, or the largest
+    row). Points that are joined to it by all keys come to its buckets, and it isn't shuffled, however many they are."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), order) if order else F.max(F.struct(*rest))
+    one = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
+    one.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+    return rows.sparkSession.table(table)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
@@ -138,16 +269,47 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartition("tile_lat", "tile_lon").sortWithinPartitions("tile_lat", "tile_lon", "blocknum").write.partitionBy("spacing").parquet(path)
 
 
-#: An anchor with a link: tag and attribute in any case; the value in either kind of quotes, or in none.
-HREF = r"""<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+class Links(HTMLParser):
+    """The links of a listing. An end tag of an anchor closes the link that was seen last, so of nested anchors the innermost
+    counts; "Parent Directory" in the text of an anchor, not in an attribute, takes its link away."""
+
+    def __init__(self):
+        super().__init__()
+        self.links, self.href, self.inside = [], "", False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.inside = True
+            for k, v in attrs:
+                if k == "href":
+                    self.href = v
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            if self.href != "":
+                self.links.append(self.href)
+            self.href, self.inside = "", False
+
+    def handle_data(self, data):
+        if self.inside and "Parent Directory" in data:
+            self.href = ""
+
+
+def links_of(html: str | None) -> list[str | None]:
+    parser = Links()
+    parser.feed(html or "")
+    return parser.links
 
 
 def listing_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, pos, href of each link in order, but for those to the parent folder."""
-    anchors = F.regexp_extract_all(F.col(html_col), F.lit(f"(?is){HREF}[^>]*>.*?</a\\s*>"), F.lit(0))
-    found = pages.select(id_col, F.posexplode(anchors).alias("pos", "a")).where(~F.col("a").contains("Parent Directory"))
-    value = F.regexp_extract("a", f"(?is){HREF}", 1)
-    return found.select(id_col, "pos", F.regexp_replace(value, "^[\"']|[\"']$", "").alias("href"))
+    """id, pos, href of each link in order, but for those to the parent folder. Tags, attributes, entities and comments are read
+    as an HTML parser reads them, in batches; an attribute href without a value is a null link."""
+
+    @F.pandas_udf("array<string>")
+    def links(html: pd.Series) -> pd.Series:
+        return html.map(links_of)
+
+    return pages.select(id_col, F.posexplode(links(F.col(html_col).cast("string"))).alias("pos", "href"))
 
 
 def listing_folders(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

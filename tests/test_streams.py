@@ -1,0 +1,113 @@
+"""Streams: bundles with timers under a clock of the test's own, and generation file by file."""
+
+import datetime
+import random
+import shutil
+import uuid
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkdem.functions.codec import encode_hgt
+from sparkdem.operators import grid
+from sparkdem.sources import files
+from sparkdem.streaming import jobs
+
+T0 = datetime.datetime(2026, 1, 1)
+
+
+def at(hours):
+    return T0 + datetime.timedelta(hours=hours)
+
+
+def lives(rows, batches, hours=24):
+    """What happens to bundles, request by request; the clock is the largest time so far, and moves between batches."""
+    out, made, clock = set(), {}, None
+    for batch in batches:
+        for key, ts in sorted(batch, key=lambda r: (r[0], r[1])):
+            if clock is not None and at(ts) < clock:
+                continue  # late
+            if key in made and ts >= made[key] + hours:
+                out.add((key, at(made[key] + hours), "expired", at(made[key])))
+                del made[key]
+            out.add((key, at(ts), "repeat" if key in made else "made", at(made.setdefault(key, ts))))
+        clock = max([clock, *(at(ts) for _, ts in batch)] if clock else [at(ts) for _, ts in batch])
+        for key in [k for k, m in made.items() if at(m + hours) <= clock]:
+            out.add((key, at(made[key] + hours), "expired", at(made[key])))
+            del made[key]
+    return out
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_bundles_live_a_day(spark, rocks, tmp_path):
+    batches = [
+        [("a", 0), ("a", 5), ("b", 1)],  # made, repeated
+        [("a", 23), ("c", 20)],  # still the first bundle
+        [("b", 3), ("d", 24)],  # late: the clock is at 23
+        [("a", 30), ("b", 26), ("d", 40)],  # made anew
+        [("z", 100)],  # all others expire
+        [("a", 101), ("a", 99)],
+    ]
+    src, name = tmp_path / "in", f"life{uuid.uuid4().hex}"
+    src.mkdir()
+    out = jobs.bundle_life(spark.readStream.schema("user string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src)), "user")
+    for i, batch in enumerate(batches):
+        spark.createDataFrame([(k, at(h)) for k, h in batch], "user string, ts timestamp").coalesce(1).write.mode("append").parquet(str(src))
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)  # stopped and started again for each batch
+    got = {(r.request, r.ts, r.answer, r.made_at) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+    assert got == lives(None, batches)
+
+
+def raster(seed, lat, lon, folder):
+    rows = np.random.default_rng(seed + 100 * lat + lon).integers(0, 3000, (1201, 1201)).astype(np.int16)
+    name = f"N{lat:02d}E{lon:03d}.hgt"
+    (folder / f"{name}.zip").write_bytes(encode_hgt(rows, name))
+
+
+def stored(spark, path):
+    rows = spark.read.parquet(str(path)).select("tile_lat", "tile_lon", "blocknum", F.md5(F.concat_ws(",", F.col("heights").cast("array<string>"))).alias("h"))
+    return sorted(tuple(r) for r in rows.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_files_in_any_order_make_the_store_of_one_batch(spark, tmp_path, seed):
+    ready, src, store, check = tmp_path / "ready", tmp_path / "in", tmp_path / "store", tmp_path / "c"
+    ready.mkdir(), src.mkdir()
+    tiles = [(45, 7), (45, 8), (46, 7), (46, 8), (50, 7)]
+    for tile in tiles:
+        raster(seed, *tile, ready)
+    every = files.read_hgt(spark, str(ready), "*.hgt.zip")
+    grid.generate_blocks(every, spark.createDataFrame(tiles, "tile_lat int, tile_lon int"), 2000).write.parquet(str(tmp_path / "want"))
+    want, order = stored(spark, tmp_path / "want"), sorted(ready.iterdir())
+    random.Random(seed).shuffle(order)
+    for part in (order[:2], order[2:3], order[3:]):
+        for f in part:
+            shutil.copy(f, src / f.name)
+        q = jobs.stream_generate(spark, f"file://{src}", f"file://{store}", 2000, str(check), files_at_a_time=1)
+        assert q.awaitTermination(240) and q.exception() is None
+    assert stored(spark, store) == want
+    # a batch that has been done changes nothing, and one that was broken off makes the same again
+    marks = sorted((store / "_ingested").iterdir())
+    assert len(marks) == 5
+    for f in [*check.glob("commits/*")]:
+        if f.name.strip(".").startswith("4"):
+            f.unlink()
+    before = {p: p.stat().st_mtime_ns for p in store.rglob("*.parquet")}
+    jobs.stream_generate(spark, f"file://{src}", f"file://{store}", 2000, str(check), files_at_a_time=1).awaitTermination(240)
+    assert {p: p.stat().st_mtime_ns for p in store.rglob("*.parquet")} == before
+    for f in [*check.glob("commits/*")]:
+        if f.name.strip(".").startswith("4"):
+            f.unlink()
+    marks[-1].unlink()
+    jobs.stream_generate(spark, f"file://{src}", f"file://{store}", 2000, str(check), files_at_a_time=1).awaitTermination(240)
+    assert stored(spark, store) == want
