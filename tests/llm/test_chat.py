@@ -60,3 +60,17 @@ def test_query_against_sql(spark):
     got = registry.op10_chat(spark, "/root/testdata/sf0.01")
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_work_is_in_proportion_to_the_turns(spark):
+    """One conversation of many turns; a sum from the start for each turn would take sixteen times as long for four times as many."""
+    import time
+
+    took = {}
+    for n in (500, 2000, 8000):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 3 < 2, 'user', 'assistant') role", "concat('é ', id, repeat(' word', 40)) text")
+        began = time.time()
+        (r,) = chat.read_chats(chat.format_chats(df)).collect()
+        took[n] = time.time() - began
+        assert len(r.turns) == n and r.loss_text == "".join(f"é {i}{' word' * 40}" for i in range(n) if i % 3 == 2)
+    assert took[8000] <= 5 * took[2000] + 1, took
