@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,16 @@ def materialise(df: DataFrame, name: str = "table", compression: str = "snappy")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, *keys: Column) -> DataFrame:
+    """The keys, and row, a struct of all of df's columns: so no name of theirs can clash with what is added."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *keys)
+
+
+def uncarried(rows: DataFrame) -> DataFrame:
+    """The columns of row again."""
+    return rows.select("row.*")
+
+
 #: Rows of keys that are broadcast at most: a few megabytes.
 BROADCAST_ROWS = 400_000
 

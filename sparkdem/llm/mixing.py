@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import materialise
+from sparkdem.llm.common import carried, materialise, uncarried
 
 #: Rows in a block, on average: a block is permuted by one task, so a source of any share of all rows is many tasks' work.
 ROWS_PER_BLOCK = 2_000
@@ -117,7 +117,8 @@ def mix(df: DataFrame, key_col: str, tokens_col: str = "n", source_col: str = "s
 
 
 def mix_rows(df: DataFrame, drawn: DataFrame, key_col: str) -> DataFrame:
-    """df's rows, each as often as its key was drawn; a null key is one."""
-    times = drawn.groupBy(F.col("key").alias("__key")).agg(F.count("*").cast("int").alias("__times"))
-    repeated = df.join(times, F.col(key_col).cast("long").eqNullSafe(F.col("__key"))).drop("__key")
-    return repeated.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")
+    """df's rows, each as often as its key was drawn; a null key is one. Columns of any name are kept as they are; rows whose
+    key wasn't drawn go, and an empty table gives no rows."""
+    times = drawn.groupBy(F.col("key").alias("drawn_key")).agg(F.count("*").cast("int").alias("times"))
+    repeated = carried(df, F.col(key_col).cast("long").alias("own_key")).join(times, F.col("own_key").eqNullSafe(F.col("drawn_key")))
+    return uncarried(repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import materialise
+from sparkdem.llm.common import carried, materialise
 
 #: Keys drawn for each range; the sample is n_ranges times this, whatever the input.
 DRAWS = 16
@@ -110,6 +110,17 @@ def shard_documents(df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes df's rows as Parquet folders by shard, in slot order; assigned holds one row for each id of df."""
-    joined = df.join(assigned.select(F.col("doc_id").alias("__id"), "shard", "slot"), F.col(id_col) == F.col("__id")).drop("__id")
-    joined.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes df's rows as Parquet folders by shard, in slot order; assigned holds one row for each id of df.
+
+    The columns shard and slot are added; where df has a column of that name (in any case), an underscore is put to the
+    end of the new one until none has. Rows of a null id are kept if assigned has one for it; an empty table has no folder.
+    """
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in ("shard", "slot"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    placed = assigned.select(F.col("doc_id").alias("placed_id"), F.col("shard").alias("to"), F.col("slot").alias("at"))
+    joined = carried(df, F.col(id_col).cast("long").alias("own_id")).join(placed, F.col("own_id").eqNullSafe(F.col("placed_id")))
+    laid = joined.repartition("to", F.expr("at div 100000")).sortWithinPartitions("to", "at")
+    laid.select("row.*", F.col("to").alias(names[0]), F.col("at").alias(names[1])).write.partitionBy(names[0]).parquet(path)
