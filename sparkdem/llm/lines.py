@@ -8,8 +8,8 @@
 3. Classes that share a key are candidates. Each is held against one class of its bucket, so a bucket of many variants
    of one line costs a link each. What is found is joined to components.
 4. In buckets that still hold several components, all pairs of different ones are held against each other; those outside
-   the largest component only, and after buckets of more than HOT classes are split by further bands. Bitmaps of the
-   shingles give a lower bound of what two sets don't share, so pairs that can't reach the similarity end in the join.
+   the largest component only, and those of similar sizes, in chunks where a bucket is large. Bitmaps of the shingles give
+   a lower bound of what two sets don't share, so pairs that can't reach the similarity end in the join.
 5. Candidates are verified by the exact Jaccard similarity of their shingle sets, linked, and joined to components.
 6. One letter changed costs SHINGLE shingles on each side, so lines of up to SHORT characters that are one edit apart
    don't reach the similarity. They are linked, too, and found exactly: such lines share a half, and of those that share
@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,9 @@ FILLED = 60
 SHORT = 80
 #: Longs in a folded bitmap of shingles, and folds.
 FOLDED, FOLDS = 16, 4
-#: Classes of a bucket of several components, beyond which it is split by further bands, in so many turns at most (a bucket
-#: that is still larger then is worked through whole).
-HOT, TURNS = 1000, 2
+#: Classes of a bucket of several components that stand on one side of a join key, about: a bound of a task, without effect on
+#: results.
+HOT = 1000
 #: Lines that are signed, and pairs that are verified, in one partition, about: so few that their shingles' groups stay in a
 #: processor's cache.
 LINES_AT_A_TIME, PAIRS_AT_A_TIME = 4000, 150
@@ -209,11 +210,20 @@ def plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 def all_apart(named: DataFrame, maps: DataFrame) -> DataFrame:
     """u, v: classes (key, h, c) of different components that share a bucket and may be similar. Those outside a bucket's
-    largest component are held against all of it, which finds every such pair."""
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"))
-    few = named.join(sizes, "key").where("c <> most.c").select("key", "h", "c").join(maps, "h")
-    other = named.withColumnsRenamed({"key": "ko", "c": "co"}).join(maps, "h").select("ko", "co", *(F.col(c).alias(f"o{c}") for c in maps.columns))
-    near = few.join(other, F.expr(f"key = ko and c <> co and {may_be_similar('o')}"))
+    largest component are held against all of it, which finds every such pair.
+
+    Similar sets have similar sizes, so a class meets those of its own and the two neighbouring classes of size only; a
+    bucket of more than HOT classes is dealt to chunks by a hash, and each class is sent to all of them. Nothing is left
+    out by either, and a join key has HOT classes, about, on one side.
+    """
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.ceil(F.sum("n") / HOT).alias("chunks"))
+    # a little wider than the similarity, so that rounding can't part two sets
+    band = F.floor(F.log("n") / math.log(1 / SIMILARITY + 0.01)).cast("int")
+    placed = named.join(sizes, "key").join(maps, "h").withColumn("size", band)
+    few = placed.where("c <> most.c").drop("most").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("size", F.explode(F.expr("array(size - 1, size, size + 1)")))
+    other = placed.drop("most").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks")))
+    other = other.select(F.col("key").alias("ko"), F.col("c").alias("co"), F.col("chunk").alias("oc"), F.col("size").alias("os"), *(F.col(c).alias(f"o{c}") for c in maps.columns))
+    near = few.join(other, F.expr(f"key = ko and chunk = oc and size = os and c <> co and {may_be_similar('o')}"))
     return near.select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
 
 
@@ -223,23 +233,6 @@ def mixed_buckets(named: DataFrame) -> DataFrame:
     return sizes.where("x < y and n > 2").select("key", "n")
 
 
-def without_hot(named: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, h, c of mixed buckets, where the classes of those with more than HOT are dealt anew: they stay together where they
-    share a band of another draw. Two of similarity 0.8 do so with a chance of 0.986 or more in each turn, half-alike ones
-    seldom."""
-    for turn in range(1, TURNS + 2):
-        sizes = materialise(mixed_buckets(named), "sizes")
-        named = materialise(named.join(sizes.select("key"), "key", "left_semi"), "mixed")
-        hot = sizes.where(F.col("n") > HOT).select("key")
-        if turn > TURNS or hot.isEmpty():
-            break
-        split = materialise(named.join(hot, "key", "left_semi").select("h", "c").distinct(), "hot")
-        lines = represented(found, classes, split.select("h"))
-        split = signed(lines, 3, turn).select("h", "key").join(split, "h").select("key", "h", "c")
-        named = materialise(named.join(hot, "key", "left_anti").unionByName(split), "split")
-    return named
-
-
 def similar_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component: the classes that are joined to others."""
     keys = signatures(found, classes)
@@ -255,7 +248,8 @@ def similar_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
     links = materialise(links.unionByName(one_edit(represented(found, classes))), "links")
     labels = components(links)
     named = named.drop("x").join(labels, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    named = without_hot(materialise(named, "named"), found, classes)
+    named = materialise(named, "named")
+    named = materialise(named.join(mixed_buckets(named).select("key"), "key", "left_semi"), "mixed")
     if named.isEmpty():
         return labels
     pairs = materialise(all_apart(named, maps), "pairs")
