@@ -24,6 +24,7 @@ import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from sparkdem.llm.common import arrow_map, materialise
 
@@ -39,8 +40,31 @@ LEXICON_WORDS, CHARS_AT_A_TIME, WORDS_COUNTED_AT_A_TIME = 65_536, 1_000_000, 150
 WORD_BYTES = 64
 
 
+@functools.lru_cache(maxsize=1)
+def newer_characters() -> tuple[regex.Pattern, regex.Pattern]:
+    """(the characters that the regex module takes for letters or numbers and the tokenizers library, of an older Unicode, doesn't;
+    the pretoken pattern without them). The library is asked about each: a letter stays with one before it."""
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    split, other = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str, []
+    for kind, before in ((r"\p{L}+", "a"), (r"\p{N}+", "1")):
+        for run in regex.findall(kind, every):
+            if len(split(before + run)) > 1:  # not all of them are
+                together = {at[0] for _, at in split("\n".join(before + c for c in run)) if at[1] - at[0] == 2}
+                other += [c for k, c in enumerate(run) if 3 * k not in together]
+    codes = np.array(sorted(map(ord, other)), np.int64)
+    ends = np.flatnonzero(np.diff(codes, append=1 << 30) > 1)
+    ranges = zip(codes[np.concatenate([[0], ends[:-1] + 1])], codes[ends]) if len(codes) else ()
+    some = "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]" if len(codes) else "(?!)"
+    pattern = PATTERN.replace(r"\p{L}+|", rf"(?:(?!{some})\p{{L}})+|").replace(r"\p{N}+|", rf"(?:(?!{some})\p{{N}})+|").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{some})+")
+    return regex.compile(some), regex.compile(pattern)
+
+
 class Vocabulary:
-    """Tokens of a byte-level BPE file in the tokenizers library's JSON format."""
+    """Tokens of a byte-level BPE file in the tokenizers library's JSON format.
+
+    Merges are done by rank of the merged token, which is the order of the file's merges if ids rise with them, and words
+    are split by PATTERN; a file of which either doesn't hold is refused. Letters and numbers are those of the library.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,6 +73,10 @@ class Vocabulary:
         hidden = [b for b in range(256) if b not in printable]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if made != sorted(made) or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or not spec["pre_tokenizer"].get("use_regex", True):
+            raise ValueError(f"{path}: its merges aren't in the order of ids, or it doesn't split words by the byte-level pattern")
         plain = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = [b""] * (max([*plain.values(), *self.special.values()]) + 1)
         for t, i in [*plain.items(), *((s.encode(), i) for s, i in self.special.items())]:
@@ -65,7 +93,10 @@ class Vocabulary:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        return (QUICK if PLAIN.fullmatch(text) else self.pattern).findall(text)
+        if PLAIN.fullmatch(text):
+            return QUICK.findall(text)
+        newer, older_pattern = newer_characters()
+        return (older_pattern if newer.search(text) else self.pattern).findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pretoken, by exact merges."""

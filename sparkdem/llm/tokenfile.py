@@ -29,11 +29,14 @@ from pyspark.sql import types as T
 
 from sparkdem.llm.bpe import batches_of_texts, encode_texts, vocabulary
 from sparkdem.llm.common import arrow_map, hashed_sample, materialise
+from sparkdem.llm.sharding import drawn_cuts, range_of
 
 #: The dictionary is trained on this many documents, those with the least hash of id and text, and on so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 65_536
-#: Documents in a file, on average.
-DOCS_PER_FILE = 100_000
+#: Bytes of text in a file, about, and files at most (beyond them they grow): their boundaries are held by the driver.
+FILE_BYTES, MOST_FILES = 64 << 20, 8192
+#: What a document costs beside its text.
+DOC_BYTES = 64
 #: Layout of the files.
 ENTRY, FOOTER, NO_DICTIONARY = np.dtype([("id", "<i8"), ("offset", "<i8"), ("size", "<i8"), ("n", "<i8")]), struct.Struct("<qqq32s"), b""
 MANIFEST = "path string, n_docs long, n_ids long, first_id long, last_id long"
@@ -71,15 +74,22 @@ def dictionary(folder: str, digest: str) -> zstandard.ZstdCompressionDict | None
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def placed() -> tuple:
+    """Where a document (id, text) lies in the order of files, and its size: __k, __t, __s."""
+    size = (F.octet_length("text") + DOC_BYTES).cast("long")
+    return F.coalesce("id", F.lit(-(2**63))).alias("__k"), F.xxhash64("text").alias("__t"), size.alias("__s")
+
+
 def write_tokens(df: DataFrame, folder: str, vocab_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends end_id, writes files in ascending id order; returns the manifest in that order.
 
-    Null and empty texts have only the end id. Rows with a null id come first; rows that repeat an id all stay, next to
-    each other, in any order. An empty table gives an empty manifest.
+    Null and empty texts have only the end id. Rows with a null id come first (the smallest long counts as null); rows that
+    repeat an id all stay, next to each other, in any order. An empty table gives an empty manifest. Files are cut by
+    bytes of text, at boundaries of id and text drawn in proportion to size, so an id of many texts is several files.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = docs.select(F.xxhash64("id", "text").alias("h"))
-    n = keys.count()
+    keys = docs.select(F.xxhash64("id", "text").alias("h"), *placed())
+    n, total = (int(x or 0) for x in keys.agg(F.count("*"), F.sum("__s")).first())
     least = hashed_sample(keys, ["h"], SAMPLE_DOCS).select("h").distinct()
     sample = docs.join(F.broadcast(least), F.xxhash64("id", "text") == F.col("h"), "left_semi")
     vocab_size = len(vocabulary(vocab_path).bytes_of)
@@ -128,8 +138,10 @@ def write_tokens(df: DataFrame, folder: str, vocab_path: str, end_id: int = 0, i
         store.move(own, done)
         yield [f"{folder}/{name}.tokens"], [len(index)], [int(index["n"].sum())], [int(index["id"][0])], [int(index["id"][-1])]
 
-    files = max(1, round(n / DOCS_PER_FILE), min(n // 1000, df.sparkSession.sparkContext.defaultParallelism * 4))
-    ordered = docs.repartitionByRange(files, "id").sortWithinPartitions("id")
+    files = max(1, min(MOST_FILES, total // FILE_BYTES), min(n // 1000, df.sparkSession.sparkContext.defaultParallelism * 4))
+    cuts = drawn_cuts(keys.withColumn("__g", F.lit(0)), max(1, total // files), "files") or [(-(2**63), -(2**63))]
+    dealt = docs.select("id", "text", *placed()).withColumn("__f", range_of(cuts))
+    ordered = dealt.repartitionById(len(cuts) + 1, "__f").sortWithinPartitions("__k", "__t").select("id", "text")
     manifest = materialise(arrow_map(ordered, write, MANIFEST), "tokens")
     # one row for each file; ranges don't overlap, so the least id orders them
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("first_id", "last_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

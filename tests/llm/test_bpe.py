@@ -1,4 +1,6 @@
+import copy
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -73,3 +75,25 @@ def test_word_counts_cover_all_rows(docs):
     want = Counter(w for r in docs.collect() for w in vocab.words(r.text or ""))
     assert {r.word: r.n for r in bpe.count_words(docs, PATH).collect()} == want
     assert docs.where(F.length("text") > 300_000).count() == 1
+
+
+def test_letters_are_those_of_the_library():
+    """Characters that are letters in a newer Unicode only, beside what splits words."""
+    vocab, tool, rng = bpe.vocabulary(PATH), Tokenizer.from_file(PATH), random.Random(3)
+    newer = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if bpe.newer_characters()[0].match(c)]
+    texts = ["\U00016ec2's", "\U00018e10't", *newer[::97]]
+    texts += ["".join(rng.choice([rng.choice(newer), "'s", "'t", "a", " ", "1", "é", "中", "²", "\n", "_"]) for _ in range(rng.randrange(9))) for _ in range(3000 if newer else 0)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x80), rng.randrange(0x3000), rng.randrange(0x10000, 0x20000)])) for _ in range(6)) for _ in range(5000)]
+    for t in texts:
+        assert [i for w in vocab.words(t) for i in vocab.merge(w)] == tool.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for name, change in (("merges", lambda s: s["model"]["merges"].reverse()), ("split", lambda s: s["pre_tokenizer"].update(type="Whitespace"))):
+        other = copy.deepcopy(spec)
+        change(other)
+        (tmp_path / name).write_text(json.dumps(other), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / name))

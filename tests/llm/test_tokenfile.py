@@ -57,3 +57,21 @@ def test_the_type_of_the_id_changes_nothing(spark, tmp_path):
         tokenfile.write_tokens(docs.withColumn("doc_id", docs.doc_id.cast(kind)), str(tmp_path / kind), PATH)
     a, b = (next((tmp_path / kind).glob("*.zdict")).read_bytes() for kind in ("int", "bigint"))
     assert a == b and a
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Long documents at one end, and an id that many texts share: files have about as many bytes."""
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 40_000)
+    text = "concat('word ', xxhash64(id) % 1000, repeat(' the and of it', if(id < 300, 60, 2)))"
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 1000, id) as doc_id", f"{text} as text")
+    manifest = tokenfile.write_tokens(docs, str(tmp_path / "files"), PATH).collect()
+    sizes = [r.n_ids for r in manifest]
+    assert len(sizes) > 5 and max(sizes) < 4 * sum(sizes) / len(sizes)
+    assert sum(r.first_id == r.last_id == 1000 for r in manifest) >= 2  # one id of a third of all rows is several files
+    rows = sorted(((r.first_id, r.last_id, r.start, r.n_ids) for r in manifest), key=lambda r: r[2])
+    at, last = 0, -1
+    for first, end, start, n in rows:
+        assert start == at and first >= last
+        at, last = start + n, end
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.checksums(tokenfile.read_tokens(spark, spark.createDataFrame(manifest))).collect())
+    assert got == sorted((i, n, c) for i, _, n, c in wanted(docs.collect()))
