@@ -87,7 +87,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from an iterator of record batches to an iterator of dicts of column arrays."""
+    """mapInArrow with a function from an iterator of record batches to an iterator of lists of columns. Sets the session's rows
+    of an Arrow batch (small_batches), which are read when the plan runs."""
     out = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

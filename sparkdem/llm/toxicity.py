@@ -189,9 +189,9 @@ class Scanner:
         ]
 
 
-def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
-    """(letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart. At most MOST_TERMS, and as
-    many words that stems find too, since misspellings are those of words."""
+def learn_terms(labelled: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[tuple[str, bool, float]], int]:
+    """((letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart, number of those beyond). At most
+    most_terms, and as many words that stems find too, since misspellings are those of words."""
 
     def run(batches):
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -210,10 +210,13 @@ def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
     marks = arrow_map(labelled.select("text", F.col("toxic") == 1), run, "term string, toxic boolean, n long")
     bad, good = labelled.agg(F.sum(F.expr("int(toxic = 1)")), F.sum(F.expr("int(toxic <> 1)"))).first()
     if not bad or not good:
-        return []
+        return [], 0
     n = marks.groupBy("term").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c"))
     lift = (F.col("t") / bad) / ((F.col("c") + 0.5) / good)
-    kept = n.where((F.col("t") >= SHARE * bad) & (lift >= LIFT) & (F.col("t") * F.log(lift) >= EVIDENCE)).withColumn("w", F.log(lift)).orderBy(F.desc(F.col("t") * F.col("w")), "term").limit(4 * MOST_TERMS).collect()
+    kept = n.where((F.col("t") >= SHARE * bad) & (lift >= LIFT) & (F.col("t") * F.log(lift) >= EVIDENCE)).withColumn("w", F.log(lift)).orderBy(F.desc(F.col("t") * F.col("w")), "term")
+    kept = materialise(kept, "terms")
+    found = kept.count()
+    kept = kept.orderBy(F.desc(F.col("t") * F.col("w")), "term").limit(4 * most_terms).collect()
     words = {r.term[1:]: r for r in kept if r.term[0] == "="}
     stems = {r.term[1:]: r for r in kept if r.term[0] == "^"}
     # a stem counts if no single word makes up most of it, and if no shorter stem finds nearly all that it finds
@@ -226,12 +229,13 @@ def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
     covered = [(w, False, r) for w, r in words.items() if any(w.startswith(s) for s in good_stems)]
     for x in (terms, covered):
         x.sort(key=lambda x: (-x[2].t * x[2].w, x[0]))
-    return [(t, stem, float(r.w)) for t, stem, r in terms[:MOST_TERMS] + covered[:MOST_TERMS]]
+    chosen = terms[:most_terms] + covered[:most_terms]
+    return [(t, stem, float(r.w)) for t, stem, r in chosen], found - len(kept) + len(terms) + len(covered) - len(chosen)
 
 
-def learn_ordinary(labelled: DataFrame, model: dict) -> tuple[list[str], list[str]]:
+def learn_ordinary(labelled: DataFrame, model: dict, most_ordinary: int = MOST_ORDINARY) -> tuple[list[str], list[str], int]:
     """Of words one edit from a term, those that rows (text, toxic) which aren't toxic use about as often as toxic ones
-    do; and the terms that have too many such neighbours."""
+    do, most_ordinary at most; the terms that have too many such neighbours; and the number of such words beyond."""
 
     def run(batches):
         scanner, seen = Scanner(model), {True: Counter(), False: Counter()}
@@ -247,9 +251,9 @@ def learn_ordinary(labelled: DataFrame, model: dict) -> tuple[list[str], list[st
     bad, good = (x or 0 for x in labelled.agg(F.sum(F.expr("int(toxic = 1)")), F.sum(F.expr("int(toxic <> 1)"))).first())
     usual = n.where((F.col("c") > 0) & (F.col("t") / max(1, bad) < LIFT * F.col("c") / max(1, good)))
     usual = materialise(usual, "usual")
-    words = usual.orderBy(F.desc("c"), "word").limit(MOST_ORDINARY).collect()
+    words = usual.orderBy(F.desc("c"), "word").limit(most_ordinary).collect()
     many = usual.groupBy("term").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON_NEIGHBOURS * good).collect()
-    return [r.word for r in words], [model["terms"][r.term][0] for r in many]
+    return [r.word for r in words], [model["terms"][r.term][0] for r in many], usual.count() - len(words)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -270,19 +274,22 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS, most_ordinary: int = MOST_ORDINARY) -> dict:
     """A model from labelled texts, one of each group of near copies: labels has id_col and toxic; rows with a null in either don't count, and of labels
     that differ for one id the larger does. Without rows of both kinds the model gives every text the share of toxic
-    rows (0 without any)."""
+    rows (0 without any). Bounds of the model: labelled rows, terms, and ordinary words; the model's `cut` tells how many terms
+    and words there were beyond them. Of rows that repeat an id with different texts one counts, of the least hash."""
     wanted = labels.where(f"{id_col} is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    wanted = hashed_sample(wanted, ["__id"], MOST_LABELLED)
+    wanted = hashed_sample(wanted, ["__id"], most_labelled)
     docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = materialise(docs.join(F.broadcast(wanted), "__id"), "labelled")  # at most MOST_LABELLED rows
+    sample = docs.join(F.broadcast(wanted), "__id")  # at most most_labelled rows
+    sample = materialise(sample.groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
     # copies of one toxic text would make terms of all its rare words
     sample = materialise(simhash.keep_representatives(sample, "__id", "text").select("text", "toxic"), "labelled")
-    terms = learn_terms(sample)
+    terms, beyond = learn_terms(sample, most_terms)
     model = {"terms": [(t, s) for t, s, _ in terms], "evidence": [w for _, _, w in terms], "ordinary": [], "exact_only": [], "weights": [-30.0] + [0.0] * (FEATURES - 1)}
-    model["ordinary"], model["exact_only"] = learn_ordinary(sample, model)
+    model["ordinary"], model["exact_only"], words_beyond = learn_ordinary(sample, model, most_ordinary)
+    model["cut"] = {"terms": beyond, "ordinary": words_beyond}
     got = np.array([r.x + [float(r.toxic == 1)] for r in features(sample.withColumn("id", F.col("toxic").cast("long")), model).withColumnRenamed("id", "toxic").collect()])
     if len(got):
         y = got[:, -1]
@@ -325,7 +332,8 @@ def spans(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_clean(df: DataFrame, model: dict, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """All columns of the rows whose text scores below the threshold."""
+    """All columns of the rows whose text scores below the threshold. A null or empty text scores like one without hits; rows
+    that repeat are judged each, so all stay or all go; an empty table gives no rows."""
     columns, types = df.columns, df.schema
     at, weights = columns.index(text_col), np.array(model["weights"])
     small_batches(df.sparkSession)

@@ -1,6 +1,11 @@
+import functools
 import math
+import re
+import struct
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from sparkdem.llm import mixing, registry
 
@@ -56,3 +61,47 @@ def test_edge_rows(docs, no_docs):
     empty = no_docs.selectExpr("doc_id", "source", "1 as n")
     assert mixing.mix(empty, "doc_id", max_repeats=2.0).collect() == []
     assert mixing.mix(docs.selectExpr("doc_id", "source", "cast(null as long) as n"), "doc_id", max_repeats=2.0).count() == docs.select("doc_id").distinct().count()
+
+
+def drawn_plainly(rows, most, per_block=2000):
+    """The draws of rows (key, source, tokens), from the definition: with one pass over the largest source, the share to the
+    power a gives each other one (largest / own) ** (1 - a) passes, so the limit gives a outright."""
+    keys = {}
+    for key, source, n in rows:
+        s, total = keys.get(key, (source, 0))
+        least = source if s is None else s if source is None else min(s, source)
+        keys[key] = (least, total + max(0, n or 0))
+    tokens = Counter()
+    for s, n in keys.values():
+        tokens[s] += n
+    some = [n for n in tokens.values() if n]
+    a = min(1.0, max(0.0, 1 - math.log(most) / math.log(max(some) / min(some)))) if some and max(some) > min(some) else 0.0
+    hashed = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), xs, 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of = lambda k: [] if k is None else [struct.pack("<q", k)]
+    blocks, out = defaultdict(list), set()
+    for key, (s, n) in keys.items():
+        count = max(1, -(-sum(x == s for x, _ in keys.values()) // per_block))
+        blocks[s, signed(hashed(*of(key), struct.pack("<i", 0))) % count].append((key, n))
+    for (s, block), mine in blocks.items():
+        passes = (max(some) / tokens[s]) ** (1 - a) if tokens[s] else 1.0
+        for number in range(math.floor(passes + 1e-9) + 1):
+            left = None if number < math.floor(passes + 1e-9) else math.floor(sum(n for _, n in mine) * (passes - number) + 1e-6)
+            order = sorted(mine, key=lambda r: (signed(hashed(*of(r[0]), struct.pack("<i", number), struct.pack("<i", 1))), r[0] is not None, r[0] or 0))
+            spent = 0
+            for position, (key, n) in enumerate(order, 1):
+                spent += n
+                if left is None or (left > 0 and spent <= left):
+                    out.add((key, s, block, number, position, n))
+    return out
+
+
+@pytest.mark.parametrize("most", [1.25, 2.0])
+def test_draws_against_the_definition(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 150)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = [(r.doc_id, r.source, len(re.findall(r"\S+", r.text or "", re.ASCII))) for r in table.collect()]
+    odd = [(None, None, 3), (1, "zz", 2), (10**12, None, None), (10**12 + 1, "none", 0)]
+    df = spark.createDataFrame(counted + odd, "doc_id long, source string, n long").repartition(5)
+    got = mixing.mix(df, "doc_id", max_repeats=most).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == drawn_plainly(counted + odd, most, 150)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from sparkdem.llm import registry, toxicity
@@ -59,3 +61,61 @@ def test_edge_rows(spark, docs, no_docs):
         assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.3 for r in rows)
         assert toxicity.score(no_docs, model).collect() == [] and toxicity.keep_clean(no_docs, model).collect() == []
     assert toxicity.train(no_docs, labels)["terms"] == []
+
+
+def plain_score(text, model):
+    """A text's score from the model's terms and weights, word by word and term by term."""
+    low = text.lower()
+    found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W_]+(?:[*@$!#][^\W_]+)*", low)]
+    terms = model["terms"]
+
+    def match(word):
+        if word in model["ordinary"]:
+            return None
+        same = [i for i, (t, stem) in enumerate(terms) if not stem and t == word]
+        begins = [(len(t), i) for i, (t, stem) in enumerate(terms) if stem and word.startswith(t)]
+        near = [i for i, (t, stem) in enumerate(terms) if not stem and len(t) >= 5 and t not in model["exact_only"]]
+        fuzzy = [i for i in near if abs(len(terms[i][0]) - len(word)) <= 1 and distance(terms[i][0], word) == 1]
+        fuzzy = fuzzy or [i for i in near for k in range(len(terms[i][0]) - 1) if word == (t := terms[i][0])[:k] + t[k + 1] + t[k] + t[k + 2 :]]
+        if same or begins or fuzzy:
+            return (same[0], 1) if same else (min(begins)[1], 2) if begins else (fuzzy[0], 3)
+        for k in range(4 if len(word) == 4 else 0):
+            for i, (t, stem) in enumerate(terms):
+                if not stem and len(t) == 4 and t not in model["exact_only"] and t[:k] + t[k + 1 :] == word[:k] + word[k + 1 :] and (word[k] in "*@$!#0123456789" or (t[k], word[k]) in toxicity.LOOKALIKES):
+                    return i, 3
+        return None
+
+    evidence, hits, address, quotes = {1: 0.0, 2: 0.0, 3: 0.0}, 0, 0, 0
+    for n, (_, _, word) in enumerate(found):
+        if hit := match(word):
+            around = [found[k] for k in range(max(0, n - 6), min(len(found), n + 7)) if k != n]
+            every = [*around, found[n]]
+            evidence[hit[1]] += model["evidence"][hit[0]]
+            hits += 1
+            address += sum(w in toxicity.ADDRESS for _, _, w in around)
+            quotes += sum(w in toxicity.REPORT for _, _, w in around) + sum(c in "\"“”„«»‘’" for c in low[min(a for a, _, _ in every) : max(b for _, b, _ in every)])
+    x = [1.0, *(math.log1p(evidence[k]) for k in (1, 2, 3)), float(hits > 0), hits / max(1, len(found)), math.log1p(address), math.log1p(quotes)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model["weights"]))))
+
+
+def test_scores_against_a_plain_reading_of_the_model(spark, docs):
+    sf = "/root/testdata/sf0.001"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(table, labels)
+    assert any(stem for _, stem in model["terms"]) or len(model["terms"]) > 3
+    odd = "an IDIOT, idoit said «idi0t» sc*m scvm; you are w0rthless idiotic", "the word “scum” quoted"
+    extra = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    every = table.select("doc_id", "text").unionByName(extra).unionByName(docs.select("doc_id", "text").where("doc_id <> 4"))
+    got = sorted((r.id is not None, r.id or 0, r.score) for r in toxicity.score(every, model).collect())
+    want = sorted((r.doc_id is not None, r.doc_id or 0, plain_score(r.text or "", model)) for r in every.collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9, (a, b)
+
+
+def test_what_is_beyond_the_bounds_is_told(spark):
+    sf = "/root/testdata/sf0.001"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    whole = toxicity.train(table, labels)
+    few = toxicity.train(table, labels, most_terms=1)
+    assert whole["cut"] == {"terms": 0, "ordinary": 0} and few["cut"]["terms"] > 0
