@@ -268,6 +268,9 @@ ORACLES |= {
     "A8_check_files": sql("select tile_lat, 0 tile_lon, case when fault in ('size', 'empty', 'unread') then 0 else n end blocks, cast(null as int) first_bad, cast(null as varchar) reason, fault = 'unread' unread, fault = 'size' bad_size, fault = 'size' or fault in ('whole', 'short') and n < 2 count_bad, fault in ('whole', 'short') range_bad, cast(case fault when 'empty' then 0 when 'unread' then 1 when 'size' then 2 else case when n < 2 then 2 else 1 end end as int) errors from faults", "cells", faults=FAULTS),
     "G12_set_version_in_files": sql("select name, case fault when 'size' then 'bad file size' when 'empty' then 'bad file size' when 'unread' then 'unreadable' else 'set' end status, case when fault in ('whole', 'short') then n end blocks, case when fault in ('whole', 'short') then 9 end version_minor, case when fault in ('whole', 'short') then 0 end bad_crc from faults", "cells", faults=FAULTS),
     "A3_steep_stored_blocks": sql("select tile_lat, tile_lon, steep, max_diff, n blocknum, gx, gy, round((tile_lat * 10000000 + n) * 1e-7::double + gx * 100 / 111111.0::double, 9) max_lat, round(n * 2000 * 1e-7::double + gy * 100 / (111111.0::double * greatest(cos(radians((tile_lat * 10000000 + n) * 1e-7::double)), 0.01)), 9) max_lon from (select tile_lat, tile_lon, cast(count(*) filter (d > 2000) as bigint) steep, coalesce(max(d), 0) max_diff, cast(arg_max(blocknum, o) filter (d > 0) as int) % 4 n, cast(arg_max(i // 32, o) filter (d > 0) as bigint) gx, cast(arg_max(i % 32, o) filter (d > 0) as bigint) gy from (select *, case when d is not null then d::hugeint * 10000000000 - blocknum * 10000 + case when kind = 'h' then 5000 else 0 end - i end o from (select *, 'h' kind, case when i % 32 < 31 then abs(lead(v) over b - v) end d from heights window b as (partition by blocknum order by i) union all select *, 'v', abs(lead(v, 32) over b - v) from heights window b as (partition by blocknum order by i))) group by all)", "cells", heights="select *, case when tile_lat % 5 = 3 then 7 else old end v from cells"),
+    "J8_store_summary": "select count(*) compared, count(*) filter (p_partkey % 7 = 0 or p_partkey % 3 = 0 and p_name <> upper(p_name)) differ from part where p_partkey % 10 <> 1",
+    "A4_zero_mix_before": sql("select tile_lat, tile_lon, cast(count(*) filter (old = 0) as bigint) zeros, count(*) total, count(*) filter (old = 0) > 0 and count(*) filter (old = 0) < count(*) and max(tile_lat) % 30 <= 11 affected from cells group by all", "cells"),
+    "G6_decimate_status": sql("select tile_lat, tile_lon, case tile_lon when 0 then 'ok' when 1 then 'not SRTM1 (size=1201)' when 2 then 'not SRTM1 (size=unknown)' else 'not SRTM1 (size=25)' end status from (select distinct tile_lat, tile_lon from pixels)", "pixels"),
     "P20_spacing_of_sizes": "select p_partkey, cast(round_even(111320 / (p_partkey + 1)::double, 0) as bigint) metres from part",
     "J3_sample_keyed_raster": ORACLES["J3_sample_hgt"],
     "J6_sample_keyed_blocks": ORACLES["J6_sample_blocks"],

@@ -13,7 +13,7 @@ from sparkdem.functions import geo
 from sparkdem.functions.codec import crc16_xmodem
 from sparkdem.functions.names import parse_tile_name, tile_name
 from sparkdem.jobs import fixtures as fx
-from sparkdem.operators import audit, grid, requests, sampling
+from sparkdem.operators import audit, cells, grid, requests, sampling
 from sparkdem.sources import files
 from sparkdem.streaming import jobs as streams
 
@@ -266,6 +266,26 @@ def J8_compare_stores(spark, d):
     return audit.compare_stores(p, b, "name", "content")
 
 
+@query
+def J8_store_summary(spark, d):
+    """Names in both stores, and those whose bytes differ; a content that is missing differs from one that is there."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("name"), F.encode("p_name", "utf-8").alias("content"))
+    b = p.where("name % 10 <> 1").withColumn("content", F.when(F.col("name") % 7 > 0, F.when(F.col("name") % 3 == 0, F.encode(F.upper(F.decode("content", "utf-8")), "utf-8")).otherwise(F.col("content"))))
+    return audit.store_summary(p, b, "name", "content")
+
+
+@query
+def A4_zero_mix_before(spark, d):
+    """Tiles with a file's time: only those written before the cutoff are affected."""
+    times = fx.blocks(spark, d).select("tile_lat", "tile_lon", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(tile_lat % 30)").alias("mtime"))
+    return audit.zero_mix(fx.blocks(spark, d), times)
+
+
+@query
+def G6_decimate_status(spark, d):
+    return grid.decimate_status(fx.hgt_row(spark, d).withColumn("size", F.expr("case tile_lon when 0 then 3601 when 1 then 1201 when 2 then null else size end")))
+
+
 @query
 def J9_height_changes(spark, d):
     return audit.height_changes(fx.blocks(spark, d), fx.blocks(spark, d, "new"))
@@ -351,37 +371,27 @@ def A12_abs_diff_percentile(spark, d):
 
 @query
 def W1_neighbour_differences(spark, d):
-    p = fx.pixels(spark, d).where(F.col("h") != geo.VOID)
-    across, up = Window.partitionBy("tile_lat", "tile_lon", "y").orderBy("x"), Window.partitionBy("tile_lat", "tile_lon", "x").orderBy("y")
-    h = F.col("h").cast("int")
-    return p.select("tile_lat", "tile_lon", "x", "y", (h - F.lag(h).over(across)).alias("dx"), (h - F.lag(h).over(up)).alias("dy"))
+    return cells.neighbour_differences(fx.pixels(spark, d))
 
 
 @query
 def W2_first_of_the_largest(spark, d):
-    p = fx.pixels(spark, d)
-    best = F.max_by(F.struct("x", "y"), F.struct("h", -(F.col("y") * 25 + F.col("x"))))
-    return p.groupBy("tile_lat", "tile_lon").agg(best.alias("b"), F.max("h").cast("int").alias("h")).select("tile_lat", "tile_lon", "h", "b.x", "b.y")
+    return cells.first_of_the_largest(fx.pixels(spark, d), F.col("y") * 25 + F.col("x"))
 
 
 @query
 def W3_before_first_bad(spark, d):
-    h = audit.check_blocks(fx.block_headers(spark, d), 100)
-    first = F.min(F.when(F.col("reason").isNotNull(), F.col("blocknum"))).over(Window.partitionBy("tile_lat", "tile_lon"))
-    return h.withColumn("first_bad", first).where("first_bad is null or blocknum < first_bad").select("tile_lat", "blocknum")
+    return cells.before_first_bad(audit.check_blocks(fx.block_headers(spark, d), 100)).select("tile_lat", "blocknum")
 
 
 @query
 def W4_last_writer(spark, d):
-    last = Window.partitionBy("tile_lat", "tile_lon").orderBy(F.desc("k"))
-    return fx.catalogue(spark, d).withColumn("r", F.row_number().over(last)).where("r = 1").select("tile_lat", "tile_lon", "k", "continent")
+    return cells.last_writer(fx.catalogue(spark, d).select("tile_lat", "tile_lon", "k", "continent"), ["tile_lat", "tile_lon"], "k")
 
 
 @query
 def W5_bounds_beside_cells(spark, d):
-    t = Window.partitionBy("tile_lat", "tile_lon")
-    h = F.when(F.col("h") != geo.VOID, F.col("h").cast("int"))
-    return fx.pixels(spark, d).select("tile_lat", "tile_lon", "x", "y", (h - F.min(h).over(t)).alias("above_least"), (F.max(h).over(t) - h).alias("below_most"))
+    return cells.beside_bounds(fx.pixels(spark, d))
 
 
 @query
@@ -398,8 +408,8 @@ def R2_ordered_tiles(spark, d):
 @query
 def X1_common_names(spark, d):
     c = fx.catalogue(spark, d)
-    a, b = c.where("k % 2 = 0").select("filename"), c.where("k % 3 = 0").select("filename")
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.distinct().exceptAll(b.distinct()).withColumn("side", F.lit("first")))
+    found = audit.common_names(c.where("k % 2 = 0"), c.where("k % 3 = 0"), "filename")
+    return found.where("side <> 'second'")
 
 
 @query
@@ -419,8 +429,7 @@ def X3_land_and_ocean(spark, d):
 def X4_planning_modes(spark, d):
     c = tiles_of(fx.catalogue(spark, d))
     listed = files.read_tile_list(fx.tile_names(spark, d), "name")[0]
-    modes = {"world": grid.world_tiles(spark, *SPAN), "existing": c, "list": listed}
-    parts = [t.select("tile_lat", "tile_lon", F.lit(m).alias("mode")) for m, t in modes.items()]
+    parts = [grid.planned_tiles(spark, m, *SPAN, existing=c, listed=listed).withColumn("mode", F.lit(m)) for m in ("world", "existing", "list")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("mode").agg(F.count("*").alias("n"))
 
 

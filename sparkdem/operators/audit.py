@@ -273,6 +273,13 @@ def compare_stores(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFr
     return pairs.select(key, differing_bytes("a", "b").alias("differing"))
 
 
+def common_names(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Each name of two stores once, and side: both, first or second, where it is."""
+    mark = a.select(key, F.lit(1).alias("s")).unionByName(b.select(key, F.lit(2).alias("s")))
+    side = F.bit_or("s")
+    return mark.groupBy(key).agg(F.when(side == 3, "both").when(side == 1, "first").otherwise("second").alias("side"))
+
+
 def store_summary(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFrame:
     """One row: names in both stores (compared), and those whose bytes differ (differ)."""
     pairs = a.select(key, F.col(content).alias("a")).join(b.select(key, F.col(content).alias("b")), key)

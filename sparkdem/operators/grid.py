@@ -37,6 +37,16 @@ def pending(work: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFr
     return work if overwrite else work.join(F.broadcast(done.select(*TILE).distinct()), TILE, "left_anti")  # at most 64,800 keys
 
 
+def planned_tiles(spark: SparkSession, mode: str, lat_min: int, lat_max: int, existing: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """The distinct tiles that a run plans: the whole world of the latitudes, those that exist in a store, or a given list."""
+    if mode == "world":
+        return world_tiles(spark, lat_min, lat_max)
+    chosen = {"existing": existing, "list": listed}.get(mode)
+    if chosen is None:
+        raise ValueError("a plan is world, or existing or list with their tiles")
+    return chosen.select(*TILE).distinct()
+
+
 def consumers(tiles: DataFrame) -> DataFrame:
     """The up to four tiles whose blocks read each tile: itself, and those to the west, south and south-west."""
     moves = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, -1) for b in (0, -1)))
