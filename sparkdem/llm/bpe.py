@@ -41,9 +41,9 @@ WORD_BYTES = 64
 
 
 @functools.lru_cache(maxsize=1)
-def newer_characters() -> tuple[regex.Pattern, regex.Pattern]:
-    """(the characters that the regex module takes for letters or numbers and the tokenizers library, of an older Unicode, doesn't;
-    the pretoken pattern without them). The library is asked about each: a letter stays with one before it."""
+def newer_characters() -> tuple[np.ndarray, regex.Pattern]:
+    """(whether each code point is one that the regex module takes for a letter or number and the tokenizers library, of an older
+    Unicode, doesn't; the pretoken pattern without them). The library is asked: a letter stays with one before it."""
     every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
     split, other = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str, []
     for kind, before in ((r"\p{L}+", "a"), (r"\p{N}+", "1")):
@@ -56,7 +56,9 @@ def newer_characters() -> tuple[regex.Pattern, regex.Pattern]:
     ranges = zip(codes[np.concatenate([[0], ends[:-1] + 1])], codes[ends]) if len(codes) else ()
     some = "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]" if len(codes) else "(?!)"
     pattern = PATTERN.replace(r"\p{L}+|", rf"(?:(?!{some})\p{{L}})+|").replace(r"\p{N}+|", rf"(?:(?!{some})\p{{N}})+|").replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|{some})+")
-    return regex.compile(some), regex.compile(pattern)
+    table = np.zeros(0x110000, bool)
+    table[codes] = True
+    return table, regex.compile(pattern)
 
 
 class Vocabulary:
@@ -96,7 +98,8 @@ class Vocabulary:
         if PLAIN.fullmatch(text):
             return QUICK.findall(text)
         newer, older_pattern = newer_characters()
-        return (older_pattern if newer.search(text) else self.pattern).findall(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return (older_pattern if newer[codes].any() else self.pattern).findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pretoken, by exact merges."""
