@@ -88,7 +88,7 @@ def write_tokens(df: DataFrame, folder: str, vocab_path: str, end_id: int = 0, i
     bytes of text, at boundaries of id and text drawn in proportion to size, so an id of many texts is several files.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = docs.select(F.xxhash64("id", "text").alias("h"), *placed())
+    keys = materialise(docs.select(F.xxhash64("id", "text").alias("h"), *placed()), "sizes")  # texts are read once for it
     n, total = (int(x or 0) for x in keys.agg(F.count("*"), F.sum("__s")).first())
     least = hashed_sample(keys, ["h"], SAMPLE_DOCS).select("h").distinct()
     sample = docs.join(F.broadcast(least), F.xxhash64("id", "text") == F.col("h"), "left_semi")
