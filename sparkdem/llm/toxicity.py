@@ -189,7 +189,12 @@ class Scanner:
         ]
 
 
-def learn_terms(labelled: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[tuple[str, bool, float]], int]:
+def learn_terms(labelled: DataFrame) -> list[tuple[str, bool, float]]:
+    """(letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart, within the usual bound."""
+    return terms_and_beyond(labelled)[0]
+
+
+def terms_and_beyond(labelled: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list[tuple[str, bool, float]], int]:
     """((letters, whether a stem, evidence) of the terms that set toxic rows (text, toxic) apart, number of those beyond). At most
     most_terms, and as many words that stems find too, since misspellings are those of words."""
 
@@ -233,7 +238,12 @@ def learn_terms(labelled: DataFrame, most_terms: int = MOST_TERMS) -> tuple[list
     return [(t, stem, float(r.w)) for t, stem, r in chosen], found - len(kept) + len(terms) + len(covered) - len(chosen)
 
 
-def learn_ordinary(labelled: DataFrame, model: dict, most_ordinary: int = MOST_ORDINARY) -> tuple[list[str], list[str], int]:
+def learn_ordinary(labelled: DataFrame, model: dict) -> tuple[list[str], list[str]]:
+    """The words and terms of ordinary_and_beyond, within the usual bound."""
+    return ordinary_and_beyond(labelled, model)[:2]
+
+
+def ordinary_and_beyond(labelled: DataFrame, model: dict, most_ordinary: int = MOST_ORDINARY) -> tuple[list[str], list[str], int]:
     """Of words one edit from a term, those that rows (text, toxic) which aren't toxic use about as often as toxic ones
     do, most_ordinary at most; the terms that have too many such neighbours; and the number of such words beyond."""
 
@@ -286,9 +296,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialise(sample.groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
     # copies of one toxic text would make terms of all its rare words
     sample = materialise(simhash.keep_representatives(sample, "__id", "text").select("text", "toxic"), "labelled")
-    terms, beyond = learn_terms(sample, most_terms)
+    terms, beyond = terms_and_beyond(sample, most_terms)
     model = {"terms": [(t, s) for t, s, _ in terms], "evidence": [w for _, _, w in terms], "ordinary": [], "exact_only": [], "weights": [-30.0] + [0.0] * (FEATURES - 1)}
-    model["ordinary"], model["exact_only"], words_beyond = learn_ordinary(sample, model, most_ordinary)
+    model["ordinary"], model["exact_only"], words_beyond = ordinary_and_beyond(sample, model, most_ordinary)
     model["cut"] = {"terms": beyond, "ordinary": words_beyond}
     got = np.array([r.x + [float(r.toxic == 1)] for r in features(sample.withColumn("id", F.col("toxic").cast("long")), model).withColumnRenamed("id", "toxic").collect()])
     if len(got):
