@@ -45,8 +45,7 @@ def resampled(docs, target, **options):
     return Counter(map(tuple, found.collect()))
 
 
-@pytest.mark.parametrize("run,buckets,least", [(1, 10_000, 20), (2, 97, 0), (3, 1, 2)])
-@pytest.mark.parametrize("chars", [300, 4_000_000])
+@pytest.mark.parametrize("run,buckets,least,chars", [(1, 10_000, 20, 300), (2, 97, 0, 4_000_000), (3, 1, 2, 300)])
 def test_odd_rows(spark, docs, monkeypatch, run, buckets, least, chars):
     monkeypatch.setattr(resampling, "CHARS_IN_BLOCK", chars)
     target = spark.createDataFrame([("The cat, the CAT",), (None,), ("",), ("x² 中文 émoji",)], "text string")
