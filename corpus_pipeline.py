@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdem.llm import bpe, lines, mixing, simhash, toxicity
-from sparkdem.llm.common import materialise, table
+from sparkdem.llm.common import materialise, scratch, table
 from sparkdem.llm.registry import vocab_path
 
 #: A text is rejected at this score; passes over a source at most; words in a near-duplicate's shingle, and its least
@@ -67,8 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over the documents; each stage's rows are written to the shared folder and read again. What else a stage
+    writes is deleted when it ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs = kept(materialise(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

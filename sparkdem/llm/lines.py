@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import components, held, materialise
+from sparkdem.llm.common import components, held, materialise, scratch
 
 #: Characters in a shingle, least similarity, and bands of cells: at 0.8 a pair shares a band with a chance of 0.986 or more.
 SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 14, 6
@@ -234,27 +234,31 @@ def mixed_buckets(named: DataFrame) -> DataFrame:
 
 
 def similar_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component: the classes that are joined to others."""
-    keys = signatures(found, classes)
-    buckets = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n")).where("x < y")
-    buckets = materialise(buckets, "buckets")
-    # the two ends of a bucket are a pair; the others of it are held against its least
-    named = materialise(held(keys, buckets.where("n > 2").select("key", "x"), "key").distinct(), "named")
-    stars = buckets.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(named.where("h <> x").select(F.col("x").alias("u"), F.col("h").alias("v")))
-    pairs = materialise(stars.distinct(), "pairs")
-    texts = texts_of(found, classes, pairs.select(F.explode(F.array("u", "v")).alias("h")))
-    maps = materialise(bitmaps(texts), "bitmaps")
-    links = verified(materialise(plausible(pairs, maps), "pairs"), texts)
-    links = materialise(links.unionByName(one_edit(represented(found, classes))), "links")
-    labels = components(links)
-    named = named.drop("x").join(labels, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    named = materialise(named, "named")
-    named = materialise(named.join(mixed_buckets(named).select("key"), "key", "left_semi"), "mixed")
-    if named.isEmpty():
-        return labels
-    pairs = materialise(all_apart(named, maps), "pairs")
-    more = materialise(verified(pairs, texts), "links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    """node, component: the classes that are joined to others. All else that is written on the way is deleted."""
+    spark = found.sparkSession
+    with scratch(spark) as kept:
+        with scratch(spark) as needed:
+            keys = signatures(found, classes)
+            buckets = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n")).where("x < y")
+            buckets = materialise(buckets, "buckets")
+            # the two ends of a bucket are a pair; the others of it are held against its least
+            named = needed(materialise(held(keys, buckets.where("n > 2").select("key", "x"), "key").distinct(), "named"))
+            stars = buckets.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(named.where("h <> x").select(F.col("x").alias("u"), F.col("h").alias("v")))
+            pairs = needed(materialise(stars.distinct(), "pairs"))
+        texts = texts_of(found, classes, pairs.select(F.explode(F.array("u", "v")).alias("h")))
+        maps = materialise(bitmaps(texts), "bitmaps")
+        links = verified(materialise(plausible(pairs, maps), "pairs"), texts)
+        with scratch(spark) as needed:
+            links = needed(materialise(links.unionByName(one_edit(represented(found, classes))), "links"))
+        labels = components(links)
+        named = named.drop("x").join(labels, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+        named = materialise(named, "named")
+        named = materialise(named.join(mixed_buckets(named).select("key"), "key", "left_semi"), "mixed")
+        if named.isEmpty():
+            return kept(labels)
+        pairs = materialise(all_apart(named, maps), "pairs")
+        more = materialise(verified(pairs, texts), "links")
+        return kept(labels if more.isEmpty() else components(links.unionByName(more)))
 
 
 def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,8 +287,9 @@ def drop_duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows whose lines all go are dropped; rows that had no lines but blank ones stay as they are. Columns of any name are
     carried in a struct of their own, so none can clash.
     """
-    gone = line_components(df, id_col, text_col).where("not kept").groupBy("doc_id", "row_key").agg(F.collect_list("line_no").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "gone")
+    with scratch(df.sparkSession) as kept:
+        gone = line_components(df, id_col, text_col).where("not kept").groupBy("doc_id", "row_key").agg(F.collect_list("line_no").alias("gone"))
+        gone = kept(materialise(gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "gone"), "gone"))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text", F.isnull("text")))
     joined = rows.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")

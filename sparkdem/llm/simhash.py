@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdem.llm.common import arrow_map, carried, components, materialise, uncarried
+from sparkdem.llm.common import arrow_map, carried, components, materialise, scratch, uncarried
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -205,11 +205,12 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     id the one whose text has the smallest hash. With a similarity, texts whose sets of shingles are so alike are of one
     component, too. Of rows that repeat both id and text one stays, whichever. Columns of any name are kept as they are; null
     and empty texts are near-duplicates of each other, and an empty table gives no rows."""
-    if similarity is None:
-        found = near_duplicates(df, id_col, text_col, words, distance)
-    else:
-        found = similar_texts(df, id_col, text_col, words, distance, similarity)
-    keep = materialise(found.where("kept").groupBy(F.col("id").alias("kept_id"), F.col("t").alias("kept_t")).agg(F.count("*").alias("n")), "kept")
+    with scratch(df.sparkSession) as kept:
+        if similarity is None:
+            found = near_duplicates(df, id_col, text_col, words, distance)
+        else:
+            found = similar_texts(df, id_col, text_col, words, distance, similarity)
+        keep = kept(materialise(found.where("kept").groupBy(F.col("id").alias("kept_id"), F.col("t").alias("kept_t")).agg(F.count("*").alias("n")), "kept"))
     rows = carried(df, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text", F.isnull("text")))
-    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")), "left_semi")
-    return uncarried(kept.dropDuplicates(["id", "text"]) if keep.where("n > 1").head(1) else kept)
+    stay = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")), "left_semi")
+    return uncarried(stay.dropDuplicates(["id", "text"]) if keep.where("n > 1").head(1) else stay)
