@@ -7,9 +7,10 @@
    leave cells empty, deal each shingle several times (DRAWS).
 3. Classes that share a key are candidates. Each is held against one class of its bucket, so a bucket of many variants
    of one line costs a link each. What is found is joined to components.
-4. In buckets that still hold several components, all pairs of different ones are held against each other; those outside
-   the largest component only, and those of similar sizes, in chunks where a bucket is large. Bitmaps of the shingles give
-   a lower bound of what two sets don't share, so pairs that can't reach the similarity end in the join.
+4. In buckets that still hold several components, each class is held against a few drawn ones, which joins most near copies.
+   Then all pairs of different components are held against each other; those outside the largest component only, and those
+   of similar sizes, in chunks where a bucket is large. Bitmaps of the shingles give a lower bound of what two sets don't
+   share, so pairs that can't reach the similarity end in the join.
 5. Candidates are verified by the exact Jaccard similarity of their shingle sets, linked, and joined to components.
 6. One letter changed costs SHINGLE shingles on each side, so lines of up to SHORT characters that are one edit apart
    don't reach the similarity. They are linked, too, and found exactly: such lines share a half, and of those that share
@@ -41,6 +42,8 @@ FOLDED, FOLDS = 16, 4
 #: Classes of a bucket of several components that stand on one side of a join key, about: a bound of a task, without effect on
 #: results.
 HOT = 1000
+#: Draws of two classes from a bucket of several components, before all of it is compared.
+PICKS = 3
 #: Lines that are signed, and pairs that are verified, in one partition, about: so few that their shingles' groups stay in a
 #: processor's cache.
 LINES_AT_A_TIME, PAIRS_AT_A_TIME = 4000, 150
@@ -227,12 +230,30 @@ def all_apart(named: DataFrame, maps: DataFrame) -> DataFrame:
     return near.select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
 
 
+def drawn_apart(named: DataFrame, maps: DataFrame) -> DataFrame:
+    """u, v: the classes (key, h, c) of each bucket and up to 2 * PICKS drawn ones of it, where they are of different components
+    and may be similar. Near copies of each other share several buckets, so they meet many and are joined; what isn't
+    is left to all_apart."""
+    drawn = [F.struct(F.xxhash64("h", "key", F.lit(k)), "h", "c") for k in range(PICKS)]
+    picks = named.groupBy("key").agg(F.array_distinct(F.array(*(f(d) for d in drawn for f in (F.min, F.max)))).alias("picks"))
+    met = named.join(picks, "key").select("h", "c", F.explode("picks").alias("p")).where("c <> p.c")
+    pairs = met.select(F.least("h", "p.h").alias("u"), F.greatest("h", "p.h").alias("v")).distinct()
+    return plausible(pairs, maps)
+
+
 def mixed_buckets(named: DataFrame) -> DataFrame:
     """key, n of the buckets (key, h, c) with several components and more than two classes."""
     sizes = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n"))
     return sizes.where("x < y and n > 2").select("key", "n")
 
 
+def still_mixed(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, h, c (the component) of the buckets (key, h) that hold several components."""
+    named = named.join(labels, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    named = materialise(named, "named")
+    return materialise(named.join(mixed_buckets(named).select("key"), "key", "left_semi"), "mixed")
+
+
 def similar_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component: the classes that are joined to others. All else that is written on the way is deleted."""
     spark = found.sparkSession
@@ -251,14 +272,18 @@ def similar_lines(found: DataFrame, classes: DataFrame) -> DataFrame:
         with scratch(spark) as needed:
             links = needed(materialise(links.unionByName(one_edit(represented(found, classes))), "links"))
         labels = components(links)
-        named = named.drop("x").join(labels, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-        named = materialise(named, "named")
-        named = materialise(named.join(mixed_buckets(named).select("key"), "key", "left_semi"), "mixed")
-        if named.isEmpty():
-            return kept(labels)
-        pairs = materialise(all_apart(named, maps), "pairs")
-        more = materialise(verified(pairs, texts), "links")
-        return kept(labels if more.isEmpty() else components(links.unionByName(more)))
+        named = still_mixed(named.drop("x"), labels)
+        for pairs_of in (drawn_apart, all_apart):
+            if named.isEmpty():
+                break
+            more = materialise(verified(materialise(pairs_of(named, maps), "pairs"), texts), "links")
+            if more.isEmpty():
+                continue
+            links = links.unionByName(more)
+            labels = components(links)
+            if pairs_of is drawn_apart:
+                named = still_mixed(named.drop("c"), labels)
+        return kept(labels)
 
 
 def line_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,27 @@ def test_one_group_of_half_alike_lines(spark, monkeypatch, hot):
     assert sum(got[k][0] == want[k][0] for k in want) >= 0.95 * len(want) and sum(not kept for _, kept in want.values()) > 20
 
 
+def test_near_copies_are_joined_before_all_pairs_are_held(spark, monkeypatch):
+    """Copies of one line with one to four letters changed: five changes or fewer between two of them are a similarity of 0.8."""
+    rng, found, all_apart = random.Random(9), [], lines.all_apart
+
+    def counted(named, maps):
+        found.append(all_apart(named, maps).count())
+        return all_apart(named, maps)
+
+    monkeypatch.setattr(lines, "all_apart", counted)
+    line = [rng.choice(LETTERS) for _ in range(400)]
+    rows = []
+    for i in range(300):
+        copy = list(line)
+        for at in rng.sample(range(10, 390), rng.choice([1, 2, 3, 4, 4, 4])):
+            copy[at] = "-"
+        rows.append((i, "".join(copy)))
+    got, want = grouped(lines.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), plain(rows)
+    assert got == want and sum(not kept for _, kept in want.values()) == 299
+    assert sum(found) < 300, found
+
+
 def test_lines_that_share_a_hash_are_kept_apart(spark, monkeypatch):
     monkeypatch.setattr(lines, "first_hash", lambda: F.pmod(F.xxhash64("line"), F.lit(50)))
     rows = [(i, f"{i % 300} a line of its own, number {i % 300 * 7919}") for i in range(600)]
