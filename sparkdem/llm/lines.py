@@ -34,6 +34,10 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 8, 0.8, 14, 6
 DRAWS = {1: (112, None), 3: (36, 140), 14: (1, 45)}
 #: A line that fills fewer of its BANDS * ROWS cells has few different shingles for its length: it is signed as a short one, too.
 FILLED = 60
+#: Which of these lack keys: f1 and f3 cells are filled by one draw and by three. At 112 to 140 places, lines of 45 different shingles
+#: or fewer, that are to have 14 draws, fill less than FILLED_THRICE cells by three.
+FILLED_THRICE = 76
+UNSIGNED = f"places > {DRAWS[3][1]} or places > {DRAWS[14][1]} and f3 < if(f1 < {FILLED}, {FILLED_THRICE}, {FILLED})"
 #: From 9 * SHINGLE shingles on, one edit leaves lines as similar as that; lines of SHINGLE to SHORT characters are also
 #: linked if they are one edit apart.
 SHORT = 80
@@ -72,9 +76,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """h, first (doc_id, row_key, line_no of the first line), mixed (whether lines of that hash differ in the other one)."""
+    """h, first (doc_id, row_key, line_no of the first line), mixed (whether lines of that hash differ in the other one), places."""
     first = F.min(F.struct("doc_id", "row_key", "line_no")).alias("first")
-    return found.groupBy("h").agg(first, (F.min("g") < F.max("g")).alias("mixed"))
+    return found.groupBy("h").agg(first, (F.min("g") < F.max("g")).alias("mixed"), F.max("places").alias("places"))
 
 
 def named_apart(found: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,13 +154,19 @@ def signed(lines: DataFrame, draws: int, seed: int = 0) -> DataFrame:
 
 
 def signatures(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """h, key of each class of lines of a shingle or more."""
+    """h, key of each class of lines of a shingle or more. The lines of each number of draws are written on their own, so what
+    was dealt for one is off the disk before the next."""
     lines, parts = represented(found, classes), []
     for draws, (least, most) in DRAWS.items():
-        parts.append(signed(lines.where(F.col("places").between(least, most or 1 << 31)), draws))
-    first = materialise(functools.reduce(DataFrame.unionByName, parts), "signatures")
-    few = first.where(F.col("draws") < max(DRAWS)).groupBy("h", "draws").agg(F.sum("filled").alias("filled")).where(F.col("filled") < FILLED)
-    repetitive = represented(found, classes, materialise(few.select("h").distinct(), "few"))
+        parts.append(materialise(signed(lines.where(F.col("places").between(least, most or 1 << 31)), draws), "signatures"))
+    first = functools.reduce(DataFrame.unionByName, parts)
+    filled = (F.coalesce(F.sum(F.when(F.col("draws") == d, F.col("filled"))), F.lit(BANDS * ROWS)).alias(f"f{d}") for d in (1, 3))
+    few = first.where(F.col("draws") < max(DRAWS)).groupBy("h").agg(*filled).where(f"f1 < {FILLED} or f3 < {FILLED}")
+    # lines that are short enough have the further keys already
+    few = materialise(few.join(classes.select("h", "places"), "h").where(UNSIGNED).select("h"), "few")
+    if few.isEmpty():
+        return first.select("h", "key")
+    repetitive = represented(found, classes, few)
     more = materialise(signed(repetitive, 3).unionByName(signed(repetitive, 14)), "signatures")
     return first.unionByName(more).select("h", "key")
 

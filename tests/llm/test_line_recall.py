@@ -82,3 +82,21 @@ def test_other_columns_are_carried(spark):
     out = lines.drop_duplicate_lines(df)
     assert out.schema == df.schema or [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "one line", 5, "k"), (2, "other", 5, "k"), (None, None, None, None)], key=str)
+
+
+def test_lines_are_signed_once_for_each_number_of_draws(spark, monkeypatch):
+    """Lines at the least length of a number of draws fill few cells by it; they were signed again, by what they had already. And
+    the lines of all numbers of draws were dealt by one statement. Lines that repeat themselves still meet short ones."""
+    rng, written, materialise = random.Random(10), [], lines.materialise
+    word = lambda n: "".join(rng.choice(LETTERS) for _ in range(n))
+    rows = [word(n + lines.SHINGLE - 1) for n in [20] * 10 + list(range(36, 46)) * 10 + list(range(112, 141)) * 5 + [300] * 10]
+    whole, period = len(rows), [word(40) for _ in range(20)]
+    rows += [p + p[: lines.SHINGLE - 1] for p in period] + [(4 * p)[: 127 + i] for i, p in enumerate(period[:10])] + [9 * p for p in period[10:]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in lines.line_components(df).collect()}
+    assert all(got[whole + i] == got[whole + 20 + i] for i in range(20)) and len(set(got.values())) == whole + 20
+    found = materialise(lines.occurrences(lines.keyed(df.where(F.col("doc_id") < whole), "doc_id", "text")), "lines")
+    monkeypatch.setattr(lines, "materialise", lambda df, name, *a: written.append((name, out := materialise(df, name, *a))) or out)
+    keys = lines.signatures(found, lines.classes_of(found)).groupBy("h").count().collect()
+    assert sorted(r["count"] for r in keys) == [lines.BANDS] * 20 + [2 * lines.BANDS] * (whole - 20)
+    assert [t.select("h").distinct().count() for n, t in written if n == "signatures"] == [155, 245, 110]
