@@ -90,24 +90,26 @@ def variants(distinct: DataFrame, side: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """u, v: each pair of different fingerprints (column fp, distinct) at `distance` bits or fewer; distance at most 3."""
+    """u, v: each pair of different fingerprints (column fp, distinct) at `distance` bits or fewer; distance at most 3. Each side
+    is some 34 times its fingerprints, which Spark's estimate doesn't know, so it is told not to broadcast one."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments find pairs at three bits or fewer")
     a = variants(distinct, 0).select("key", F.col("fp").alias("u"))
-    b = variants(distinct, 1).select("key", F.col("fp").alias("v"))
+    b = variants(distinct, 1).select("key", F.col("fp").alias("v")).hint("merge")
     near = a.join(b, (a.key == b.key) & (F.expr(f"bit_count(u ^ v) <= {distance}")) & ((a.key < (64 << 32)) | (F.col("u") < F.col("v"))))
     return near.select("u", "v").distinct()
 
 
 def with_components(docs: DataFrame, mark: str, labels: DataFrame) -> DataFrame:
     """docs (id, t, mark) with component_id and kept, by the components of their marks (node, component). The first row of a
-    component is the one of its smallest id (null last), and of that id's texts the one of the smallest hash."""
+    component is the one of its smallest id (null last), and of that id's texts the one of the smallest hash. All sides grow with
+    docs, so none is broadcast."""
     reps = docs.groupBy(mark).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "t")).alias("rep"))
-    rooted = reps.join(labels, reps[mark] == labels.node, "left").select(mark, "rep", F.coalesce("component", mark).alias("root"))
+    rooted = reps.join(labels.hint("merge"), reps[mark] == labels.node, "left").select(mark, "rep", F.coalesce("component", mark).alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("first"))
-    named = rooted.join(first, "root").select(mark, "first")
+    named = rooted.join(first.hint("merge"), "root").select(mark, "first")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
-    return docs.join(named, mark).select("id", "t", mark, F.col("first.id").alias("component_id"), kept.alias("kept"))
+    return docs.join(named.hint("merge"), mark).select("id", "t", mark, F.col("first.id").alias("component_id"), kept.alias("kept"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
