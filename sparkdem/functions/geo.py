@@ -27,6 +27,11 @@ def truncated(c: Column) -> Column:
     return c.cast("bigint")
 
 
+def corner_e7(degree) -> Column:
+    """The position of a whole degree; a BIGINT, also of an INT degree whose position is beyond INT."""
+    return _c(degree).cast("bigint") * 10_000_000
+
+
 def longitude_scale(lat) -> Column:
     return F.greatest(f32(F.cos(f32(F.radians(_c(lat))))), F.lit(0.01))
 
@@ -66,7 +71,7 @@ def east_blocks(lat_e7, lon_e7, spacing, fmt: str = "4.1") -> Column:
 
 def block_origin(tile_lat, tile_lon, blocknum, spacing, fmt: str = "4.1") -> Column:
     """Struct lat_e7, lon_e7 of a block's south-west corner."""
-    lat, lon, num, spacing = _c(tile_lat) * 10_000_000, _c(tile_lon) * 10_000_000, _c(blocknum), _c(spacing)
+    lat, lon, num, spacing = corner_e7(tile_lat), corner_e7(tile_lon), _c(blocknum), _c(spacing)
     stride = east_blocks(lat, lon, spacing, fmt)
     return add_offset(lat, lon, F.floor(num / stride) * STEP_N * spacing, F.pmod(num, stride) * STEP_E * spacing, fmt)
 

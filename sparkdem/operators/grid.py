@@ -57,7 +57,7 @@ def consumers(tiles: DataFrame) -> DataFrame:
 def enumerate_blocks(tiles: DataFrame, spacing: int, fmt: str = "4.1") -> DataFrame:
     """Blocks of each tile in row-major order, as far as they begin within the degree and map back to their number."""
     rows = math.ceil(1e7 / (STEP_N * spacing * E7_PER_M)) + 1
-    lat0, lon0 = F.col("tile_lat") * F.lit(10_000_000), F.col("tile_lon") * F.lit(10_000_000)
+    lat0, lon0 = geo.corner_e7("tile_lat"), geo.corner_e7("tile_lon")
     out = tiles.withColumn("stride", geo.east_blocks(lat0, lon0, F.lit(spacing), fmt))
     out = out.withColumn("grid_idx_x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows).cast("bigint"))))
     out = out.where(geo.add_offset(lat0, lon0, F.col("grid_idx_x") * (STEP_N * spacing), F.lit(0), fmt)["lat_e7"] * 1e-7 - F.col("tile_lat") < 1.0)
@@ -74,7 +74,7 @@ def grid_points(blocks: DataFrame, spacing: int) -> DataFrame:
     """The 28 * 32 points of each block, each one step from the tile's corner."""
     out = blocks.withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1)))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(COLS - 1))))
     north, east = (F.col("grid_idx_x") * STEP_N + F.col("gx")) * spacing, (F.col("grid_idx_y") * STEP_E + F.col("gy")) * spacing
-    p = geo.add_offset(F.col("tile_lat") * F.lit(10_000_000), F.col("tile_lon") * F.lit(10_000_000), north, east)
+    p = geo.add_offset(geo.corner_e7("tile_lat"), geo.corner_e7("tile_lon"), north, east)
     return out.withColumn("p", p).select(*TILE, "blocknum", "gx", "gy", "p.lat_e7", "p.lon_e7")
 
 

@@ -71,7 +71,7 @@ def sample_blocks(points: DataFrame, blocks: DataFrame, spacing: int, fmt: str =
     BLOCK_KEYS, which is joined as it stands (see sample_hgt).
     """
     p = points.withColumns({"tile_lat": F.floor(F.col("lat_e7") * 1e-7).cast("int"), "tile_lon": F.floor(F.col("lon_e7") * 1e-7).cast("int")})
-    off = geo.distance_ne(F.col("tile_lat") * F.lit(10_000_000), F.col("tile_lon") * F.lit(10_000_000), "lat_e7", "lon_e7", fmt)
+    off = geo.distance_ne(geo.corner_e7("tile_lat"), geo.corner_e7("tile_lon"), "lat_e7", "lon_e7", fmt)
     p = p.withColumn("off", off)
     p = p.withColumns({"ix": geo.truncated(F.col("off.north") / spacing), "iy": geo.truncated(F.col("off.east") / spacing)})
     p = p.withColumns({"grid_idx_x": F.floor(F.col("ix") / STEP_N), "grid_idx_y": F.floor(F.col("iy") / STEP_E)})
