@@ -54,6 +54,36 @@ def consumers(tiles: DataFrame) -> DataFrame:
     return out.select(*tiles.columns, (F.col("tile_lat") + F.col("m.a")).alias("for_lat"), (F.col("tile_lon") + F.col("m.b")).alias("for_lon"))
 
 
+def reach_north(spacing: int) -> float:
+    """Degrees beyond its own that a tile's blocks read to the north, at most."""
+    return (ROWS + STEP_N) * spacing * E7_PER_M * 1e-7
+
+
+def reach_east(lat: Column, spacing: int) -> Column:
+    """Degrees beyond its own that the blocks of a tile of that latitude read to the east, at most: rows of blocks are as long as
+    the degree at its south side and two blocks more, and are stretched where it is shorter."""
+    scale = lambda c: F.greatest(F.cos(F.radians(c)), F.lit(0.01))
+    # a cosine is least at an end of a range, but where all of it counts as 0.01
+    narrow = F.least(scale(lat - 1.0), scale(lat + 1.0 + math.ceil(reach_north(spacing))))
+    return (scale(lat) + 3 * COLS * spacing * E7_PER_M * 1e-7) / narrow - 1
+
+
+def readers(tiles: DataFrame, spacing: int) -> DataFrame:
+    """The tiles (for_lat, for_lon) whose blocks at a spacing read each tile: those up to `north` degrees to the south and `east`
+    degrees to the west, itself included; columns of tiles stay."""
+    south = tiles.withColumn("north", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(reach_north(spacing))))))
+    south = south.withColumn("for_lat", F.col("tile_lat") - F.col("north"))
+    west = south.withColumn("east", F.explode(F.sequence(F.lit(0), F.ceil(reach_east(F.col("for_lat"), spacing)).cast("int"))))
+    return west.withColumn("for_lon", F.col("tile_lon") - F.col("east"))
+
+
+def read_by(tiles: DataFrame, spacing: int) -> DataFrame:
+    """The tiles that the blocks of some tiles read at a spacing, those included, each once."""
+    out = tiles.select(*TILE).withColumn("east", F.explode(F.sequence(F.lit(0), F.ceil(reach_east(F.col("tile_lat"), spacing)).cast("int"))))
+    out = out.withColumn("north", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(reach_north(spacing))))))
+    return out.select((F.col("tile_lat") + F.col("north")).alias("tile_lat"), (F.col("tile_lon") + F.col("east")).alias("tile_lon")).distinct()
+
+
 def enumerate_blocks(tiles: DataFrame, spacing: int, fmt: str = "4.1") -> DataFrame:
     """Blocks of each tile in row-major order, as far as they begin within the degree and map back to their number."""
     rows = math.ceil(1e7 / (STEP_N * spacing * E7_PER_M)) + 1
@@ -81,7 +111,7 @@ def grid_points(blocks: DataFrame, spacing: int) -> DataFrame:
 def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int, on_bad_tile: str = "ocean") -> DataFrame:
     """Blocks with heights of each tile of `tiles`, from raster rows (tile_lat, tile_lon, size, y, h).
 
-    The one large shuffle sends each raster row to the tiles that read it: its own tile takes all rows, the tiles to the
+    The one large shuffle sends each raster row to the tiles that read it (readers): its own tile takes all rows, the tiles to the
     south only those within reach of their last block, and the tiles to the west only the columns within reach. A group
     is one tile and the strips beside it. A raster that couldn't be read (a row with a null y) is ocean, or with "skip" its
     tile isn't generated.
@@ -90,13 +120,12 @@ def generate_blocks(hgt_row: DataFrame, tiles: DataFrame, spacing: int, on_bad_t
         raise ValueError("a bad tile is ocean, or skipped")
     if on_bad_tile == "skip":
         tiles = pending(tiles, hgt_row.where("y is null and tile_lat is not null"))
-    reach = (ROWS + STEP_N) * spacing * E7_PER_M * 1e-7
-    rows = consumers(hgt_row.where("y is not null").select(*TILE, "size", "y", "h"))
-    rows = rows.where((F.col("for_lat") == F.col("tile_lat")) | (F.col("y") <= F.ceil(reach * (F.col("size") - 1)) + 1))
-    # rows of blocks go on for two blocks beyond the degree; it is shortest at the tile's side away from the equator
-    narrow = F.greatest(F.cos(F.radians(F.greatest(F.abs("for_lat"), F.abs(F.col("for_lat") + 1)) + 1.0)), F.lit(0.01))
-    east = F.ceil((3 * COLS + STEP_E) * spacing * E7_PER_M * 1e-7 / narrow * (F.col("size") - 1)).cast("int") + 2
-    rows = rows.withColumn("h", F.when(F.col("for_lon") == F.col("tile_lon"), F.col("h")).otherwise(F.slice("h", F.lit(1), F.least(F.col("size"), east))))
+    rows = readers(hgt_row.where("y is not null").select(*TILE, "size", "y", "h"), spacing)
+    rows = rows.where((F.col("north") == 0) | (F.col("y") <= F.ceil((reach_north(spacing) - F.col("north") + 1) * (F.col("size") - 1)) + 1))
+    wanted = tiles.select(F.col("tile_lat").alias("for_lat"), F.col("tile_lon").alias("for_lon")).distinct()
+    rows = rows.join(F.broadcast(wanted), ["for_lat", "for_lon"], "left_semi")  # at most 64,800 keys
+    east = F.ceil((reach_east(F.col("for_lat"), spacing) - F.col("east") + 1) * (F.col("size") - 1)).cast("int") + 2
+    rows = rows.withColumn("h", F.when(F.col("east") == 0, F.col("h")).otherwise(F.slice("h", F.lit(1), F.least(F.col("size"), east)))).drop("north", "east")
     blocks = enumerate_blocks(tiles.select(*TILE), spacing).groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("blocknum", "grid_idx_x", "grid_idx_y", "lat_e7", "lon_e7"))).alias("blocks"))
     a = rows.withColumnsRenamed({"tile_lat": "src_lat", "tile_lon": "src_lon"}).groupBy("for_lat", "for_lon")
 

@@ -24,3 +24,30 @@ def test_positions_of_far_tiles(spark, tmp_path):
     origin = spark.range(1).select(geo.block_origin(F.lit(240), F.lit(3), F.lit(0), F.lit(100)).alias("o")).first().o
     assert (origin.lat_e7, origin.lon_e7) == (2_400_000_000, 30_000_000)
     assert grid.enumerate_blocks(spark.createDataFrame([(240, 0)], "tile_lat int, tile_lon int"), 1000).count() > 0
+
+
+def test_blocks_read_all_tiles_that_they_reach(spark):
+    # at 100 degrees a degree of longitude counts as short as can be, so blocks of the tile at 0 reach far to the east
+    tiles = spark.createDataFrame([(100, k) for k in range(6)], "tile_lat int, tile_lon int")
+    rows = tiles.selectExpr("tile_lat", "tile_lon", "25 as size", "explode(sequence(0, 24)) as y", "array_repeat(smallint(tile_lon + 1), 25) as h")
+    got = grid.generate_blocks(rows, tiles.where("tile_lon = 0"), 1000).collect()
+    points = grid.grid_points(grid.enumerate_blocks(tiles.where("tile_lon = 0"), 1000), 1000).collect()
+    # rasters are level, so the height of a point is its tile's; beyond them, and north of them, is ocean
+    want = {}
+    for p in points:
+        inside = p.lat_e7 < 1_010_000_000 and p.lon_e7 < 60_000_000
+        want.setdefault(p.blocknum, [0] * 896)[p.gx * 32 + p.gy] = p.lon_e7 // 10_000_000 + 1 if inside else 0
+    assert {r.blocknum: list(r.heights) for r in got} == want
+    assert {6, 0} <= {h for x in want.values() for h in x}
+
+
+def test_tiles_that_are_read_and_readers_agree(spark):
+    tiles = spark.createDataFrame([(a, 10) for a in (-85, -60, 0, 59, 84, 100, 269, 359)], "tile_lat int, tile_lon int")
+    for spacing in (30, 100, 1000):
+        for t in tiles.collect():
+            one = tiles.where(f"tile_lat = {t.tile_lat}")
+            sources = grid.read_by(one, spacing)
+            back = grid.readers(sources, spacing).where(f"for_lat = {t.tile_lat} and for_lon = 10")
+            assert back.count() == sources.count()
+    usual = grid.read_by(spark.createDataFrame([(40, 10)], "tile_lat int, tile_lon int"), 30).collect()
+    assert {tuple(r) for r in usual} == {(40, 10), (40, 11), (41, 10), (41, 11)}
