@@ -14,6 +14,8 @@ STYLES = {
     "prefix": r"^([NS])(\d{2})([EW])(\d{3})",
     "list": r"(?i)^([NS])(\d{2})([EW])(\d{3})",
 }
+# names of files that tile_name made, which has a digit more for latitudes from 100 on
+STYLES |= {f"stored_{s}": STYLES[s].replace(r"\d{2}", r"\d{2,9}") for s in ("hgt_zip", "hgt", "prefix")}
 
 
 def parse_tile_name(c: Column, style: str = "prefix") -> Column:
@@ -25,10 +27,11 @@ def parse_tile_name(c: Column, style: str = "prefix") -> Column:
 
 
 def tile_name(lat: Column, lon: Column, ext: str = "") -> Column:
+    """The name of each tile; latitudes of three digits or more, which no place has, are written whole, so that no two tiles share one."""
     return F.format_string(
         f"%s%02d%s%03d{ext}",
         F.when(lat >= 0, "N").otherwise("S"),
-        F.least(F.abs(lat).cast("int"), F.lit(99)),
+        F.abs(lat).cast("int"),
         F.when(lon >= 0, "E").otherwise("W"),
         F.least(F.abs(lon).cast("int"), F.lit(999)),
     )

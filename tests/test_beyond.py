@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkdem.functions import geo
+from sparkdem.functions import geo, names
 from sparkdem.jobs import queries
 from sparkdem.operators import grid
 
@@ -51,3 +51,8 @@ def test_tiles_that_are_read_and_readers_agree(spark):
             assert back.count() == sources.count()
     usual = grid.read_by(spark.createDataFrame([(40, 10)], "tile_lat int, tile_lon int"), 30).collect()
     assert {tuple(r) for r in usual} == {(40, 10), (40, 11), (41, 10), (41, 11)}
+
+
+def test_names_of_far_tiles(spark):
+    one = spark.range(1).select(names.tile_name(F.lit(115), F.lit(0), ".DAT").alias("n")).select("n", names.parse_tile_name(F.col("n"), "stored_prefix").alias("t"), names.parse_tile_name(F.col("n"), "prefix").alias("p")).first()
+    assert (one.n, tuple(one.t), one.p) == ("N115E000.DAT", (115, 0), None)
