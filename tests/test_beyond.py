@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparkdem.functions import geo, names
 from sparkdem.jobs import queries
 from sparkdem.operators import grid
+from sparkdem.sources import files
 
 
 def orders(spark, path, keys):
@@ -53,6 +54,22 @@ def test_tiles_that_are_read_and_readers_agree(spark):
     assert {tuple(r) for r in usual} == {(40, 10), (40, 11), (41, 10), (41, 11)}
 
 
+def test_files_of_far_tiles(spark, tmp_path):
+    lats = [99, 100, 120, 128, 213, 214, 215, 251, 2511]
+    blocks = spark.createDataFrame([(a, n) for a in lats for n in (0, 2)], "lat int, n int").selectExpr(
+        "lat as tile_lat", "0 as tile_lon", "n as blocknum", "72057594037927935 as bitmap", "lat * 10000000L + n as lat_e7", "n * 2000 as lon_e7", "1 as version", "100 as spacing",
+        "array_repeat(smallint(lat), 896) as heights", "n div 2 as grid_idx_x", "n % 2 as grid_idx_y", "0 as lon_degrees", "lat as lat_degrees", "1 as version_minor",
+    )
+    files.write_dat(blocks, str(tmp_path)).collect()
+    assert [r.tile_lat for r in files.scan_tiles(spark, str(tmp_path)).collect()] == lats
+    back = files.read_dat(spark, str(tmp_path)).collect()
+    found = {(r.lat_degrees, r.blocknum, r.lat_e7, r.heights[0]) for r in back if r.version}
+    assert found == {(a, n, a * 10**7 + n, a) for a in lats for n in (0, 2)}
+    assert {(r.lat_degrees, r.lat_e7) for r in back if not r.version} == {(0, 0)} and len(back) == 3 * len(lats)  # the gaps
+    reasons = files.stored_checks(spark, str(tmp_path), 100).collect()
+    assert {(r.tile_lat, r.blocknum): r.reason for r in reasons} == {(a, n): "zero_header" if n == 1 else None for a in lats for n in range(3)}
+
+
 def test_names_of_far_tiles(spark):
     one = spark.range(1).select(names.tile_name(F.lit(115), F.lit(0), ".DAT").alias("n")).select("n", names.parse_tile_name(F.col("n"), "stored_prefix").alias("t"), names.parse_tile_name(F.col("n"), "prefix").alias("p")).first()
     assert (one.n, tuple(one.t), one.p) == ("N115E000.DAT", (115, 0), None)
