@@ -125,5 +125,13 @@ def index_to_latlon(lat_e7, lon_e7, idx, spacing, layout: tuple[int, int] = (32,
     return add_offset(lat_e7, lon_e7, gx * _c(spacing), gy * _c(spacing), fmt)
 
 
+def whole_position(field, degree) -> Column:
+    """A position of which a signed field of 32 bits (read without its sign) is stored, in the tile of that degree: as it stands where
+    the field can hold the tile, and else the one next to the tile's corner with the same last bits."""
+    at, signed = corner_e7(degree), (_c(field) + (1 << 31)).bitwiseAND((1 << 32) - 1) - (1 << 31)
+    turns = F.shiftright(at - _c(field) + (1 << 31), 32)
+    return F.when(at.between(-(1 << 31), (1 << 31) - 1 - 10_000_000), signed).otherwise(_c(field) + F.shiftleft(turns, 32))
+
+
 def hgt_spacing(size) -> Column:
     return truncated(F.rint(111320 / (_c(size) - 1)))

@@ -1,8 +1,9 @@
 """Tables of six times sf0.1 stand for tiles beyond the globe: their results are the definitions' own there, too."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkdem.functions import geo, names
+from sparkdem.functions import codec, geo, names
 from sparkdem.jobs import queries
 from sparkdem.operators import grid
 from sparkdem.sources import files
@@ -70,6 +71,14 @@ def test_files_of_far_tiles(spark, tmp_path):
     assert {(r.tile_lat, r.blocknum): r.reason for r in reasons} == {(a, n): "zero_header" if n == 1 else None for a in lats for n in range(3)}
 
 
+def test_stored_positions(spark):
+    # of tiles that the field can hold a position stands as it is, right or wrong
+    cases = [(5, 50_000_000, 50_000_000), (-5, (1 << 32) - 50_000_000, -50_000_000), (80, (1 << 32) - 2_000_000_000, -2_000_000_000), (251, 2_510_000_001, 2_510_000_001), (2511, 25_110_000_003 % (1 << 32), 25_110_000_003)]
+    got = spark.createDataFrame(cases, "degree int, field long, want long").select(geo.whole_position("field", "degree").alias("p"), "want").collect()
+    assert all(r.p == r.want for r in got)
+    assert codec.whole(np.array([-2_000_000_000, 5]), 32, 800_000_000, 10_000_000).tolist() == [-2_000_000_000, 5]
+
+
 def test_names_of_far_tiles(spark):
     one = spark.range(1).select(names.tile_name(F.lit(115), F.lit(0), ".DAT").alias("n")).select("n", names.parse_tile_name(F.col("n"), "stored_prefix").alias("t"), names.parse_tile_name(F.col("n"), "prefix").alias("p")).first()
     assert (one.n, tuple(one.t), one.p) == ("N115E000.DAT", (115, 0), None)
