@@ -191,24 +191,22 @@ def steep_hgt(hgt_row: DataFrame, threshold: int) -> DataFrame:
 
     Voids take no part. Horizontal differences win ties, then the first from the north-west. Rows are looked at where they
     stand (strips); only the outer rows of strips are shuffled, so that each meets the one to its south. Each raster row
-    is there once.
+    is there once. What stands together may differ each time that rows are shuffled, so strips are made once, and what is
+    inside them and their outer rows go through one shuffle.
     """
-    found = strips(hgt_row, threshold)
-    halo = found.where("halo is not null").select(*TILE, "size", "halo.*")
     clean = lambda c: F.transform(c, lambda v: F.when(v != VOID, v.cast("int")))
-    low = halo.where("lowest").select(*TILE, "size", "y", clean("h").alias("h"))
-    south = halo.where("highest").select(*TILE, (F.col("y") + 1).alias("y"), clean("h").alias("south"))
-    between = low.join(south, [*TILE, "y"]).select(*TILE, "size", "y", F.zip_with("h", "south", lambda a, b: F.abs(a - b)).alias("dv"))
-    most = F.array_max("dv")
-    between = between.select(
-        *TILE, "size", F.size(F.filter("dv", lambda d: d > threshold)).cast("long").alias("n"), *(F.lit(None).cast("int").alias(c) for c in ("mh", "yh", "ch")),
-        most.alias("mv"), F.col("y").alias("yv"), (F.array_position("dv", most) - 1).cast("int").alias("cv"),
-    )
-    rows = found.where("halo is null").drop("halo").unionByName(between)
+    # a row of statistics has no y; an outer row goes to its own y, to the next one to the north, or to both
+    found = strips(hgt_row, threshold).withColumn("to", F.expr("if(halo is null, array(null), filter(array(if(halo.lowest, halo.y, null), if(halo.highest, halo.y + 1, null)), y -> y is not null))"))
+    sent = found.withColumn("y", F.explode("to")).withColumns({"h": F.when(F.col("y") == F.col("halo.y"), F.col("halo.h")), "south": F.when(F.col("y") == F.col("halo.y") + 1, F.col("halo.h"))})
     best = lambda m, y, c: F.max_by(F.struct(F.col(y).alias("y"), F.col(c).alias("c")), F.when(F.col(m).isNotNull(), F.struct(m, y)))
-    out = rows.groupBy(*TILE).agg(
-        F.max("size").alias("size"), F.sum("n").alias("steep"), F.max("mh").alias("mh"), F.max("mv").alias("mv"), best("mh", "yh", "ch").alias("ph"), best("mv", "yv", "cv").alias("pv")
-    )
+    level = [F.max("size").alias("size"), F.sum("n").alias("n"), F.max("mh").alias("mh"), F.max("mv").alias("mv"), best("mh", "yh", "ch").alias("ph"), best("mv", "yv", "cv").alias("pv")]
+    met = sent.groupBy(*TILE, "y").agg(*level, F.max("h").alias("h"), F.max("south").alias("south"))
+    met = met.withColumn("dv", F.zip_with(clean("h"), clean("south"), lambda a, b: F.abs(a - b))).withColumn("most", F.array_max("dv"))
+    steep = F.size(F.filter(F.coalesce("dv", F.array().cast("array<int>")), lambda d: d > threshold)).cast("long")
+    place = F.struct("y", (F.array_position("dv", F.col("most")) - 1).cast("int").alias("c"))
+    met = met.withColumns({"n": F.coalesce("n", F.lit(0)) + steep, "mv": F.coalesce("mv", "most"), "pv": F.coalesce("pv", F.when(F.col("most").isNotNull(), place))})
+    last = lambda m, p: F.max_by(p, F.when(F.col(m).isNotNull(), F.struct(F.col(m), F.col(f"{p}.y")))).alias(p)
+    out = met.groupBy(*TILE).agg(F.max("size").alias("size"), F.sum("n").alias("steep"), F.max("mh").alias("mh"), F.max("mv").alias("mv"), last("mh", "ph"), last("mv", "pv"))
     horizontal = (F.coalesce("mh", F.lit(0)) >= F.coalesce("mv", F.lit(0))) & (F.coalesce("mh", F.lit(0)) > 0)
     vertical = F.coalesce("mv", F.lit(0)) > 0
     row = F.when(horizontal, F.col("size") - 1 - F.col("ph.y")).when(vertical, F.col("size") - 1 - F.col("pv.y")).otherwise(0)

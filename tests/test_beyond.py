@@ -1,11 +1,13 @@
 """Tables of six times sf0.1 stand for tiles beyond the globe: their results are the definitions' own there, too."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from sparkdem.functions import codec, geo, names
 from sparkdem.jobs import queries
-from sparkdem.operators import grid
+from sparkdem.operators import audit, grid
 from sparkdem.sources import files
 
 
@@ -82,3 +84,19 @@ def test_stored_positions(spark):
 def test_names_of_far_tiles(spark):
     one = spark.range(1).select(names.tile_name(F.lit(115), F.lit(0), ".DAT").alias("n")).select("n", names.parse_tile_name(F.col("n"), "stored_prefix").alias("t"), names.parse_tile_name(F.col("n"), "prefix").alias("p")).first()
     assert (one.n, tuple(one.t), one.p) == ("N115E000.DAT", (115, 0), None)
+
+
+def test_steepness_of_rows_in_any_order(spark):
+    # rows of one partition that a source gives in another order each time, as a shuffle's fetches may
+    def run(batches):
+        for b in batches:
+            yield b.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "little"))
+
+    rng = np.random.default_rng(3)
+    rasters = {t: rng.integers(0, 5000, (25, 25)) for t in range(12)}
+    data = [(t, 0, 25, y, [int(v) for v in r[y]]) for t, r in rasters.items() for y in range(25)]
+    schema = "tile_lat int, tile_lon int, size int, y int, h array<smallint>"
+    rows = spark.createDataFrame(data, schema).repartition(2).mapInPandas(run, schema)
+    want = {t: (int((np.abs(np.diff(r, axis=0)) > 2000).sum() + (np.abs(np.diff(r, axis=1)) > 2000).sum()), int(max(np.abs(np.diff(r, axis=a)).max() for a in (0, 1)))) for t, r in rasters.items()}
+    for _ in range(3):
+        assert {r.tile_lat: (r.steep, r.max_diff) for r in audit.steep_hgt(rows, 2000).collect()} == want
