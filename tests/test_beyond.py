@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkdem.functions import codec, geo, names
+from sparkdem.jobs import fixtures as fx
 from sparkdem.jobs import queries
 from sparkdem.operators import audit, grid
 from sparkdem.sources import files
@@ -100,3 +101,18 @@ def test_steepness_of_rows_in_any_order(spark):
     want = {t: (int((np.abs(np.diff(r, axis=0)) > 2000).sum() + (np.abs(np.diff(r, axis=1)) > 2000).sum()), int(max(np.abs(np.diff(r, axis=a)).max() for a in (0, 1)))) for t, r in rasters.items()}
     for _ in range(3):
         assert {r.tile_lat: (r.steep, r.max_diff) for r in audit.steep_hgt(rows, 2000).collect()} == want
+
+
+def test_rasters_of_far_tiles(spark, tmp_path):
+    d = orders(spark, tmp_path / "tables", spark.range(120 * 3750 + 600, 120 * 3750 + 660))
+    rows = fx.full_raster(spark, d)
+    written = files.write_hgt(rows, str(tmp_path / "hgt"))
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt while they are small: no exchange stands between widening and writing
+    assert "Exchange" not in plan[: plan.index("Generate")]
+    assert {(r.name, r.status) for r in written.collect()} == {("N120E000.hgt", "ok"), ("N120E001.hgt", "ok")}
+    assert all(os.path.getsize(tmp_path / "hgt" / f) < 200_000 for f in os.listdir(tmp_path / "hgt") if f.endswith(".zip"))  # of 2,884,802 bytes
+    want = {(r.tile_lat, r.tile_lon, r.y): r.h for r in rows.collect()}
+    back = files.read_hgt(spark, str(tmp_path / "hgt")).collect()
+    assert {(r.tile_lat, r.tile_lon, r.y): r.h for r in back} == want and len(back) == 2 * 1201 == sum(r.size == 1201 for r in back)
+    assert all(len(h) == 1201 for h in want.values()) and {min(h) for h in want.values()} >= {geo.VOID}
