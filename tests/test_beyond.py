@@ -116,3 +116,9 @@ def test_rasters_of_far_tiles(spark, tmp_path):
     back = files.read_hgt(spark, str(tmp_path / "hgt")).collect()
     assert {(r.tile_lat, r.tile_lon, r.y): r.h for r in back} == want and len(back) == 2 * 1201 == sum(r.size == 1201 for r in back)
     assert all(len(h) == 1201 for h in want.values()) and {min(h) for h in want.values()} >= {geo.VOID}
+
+
+def test_stream_of_far_rasters(spark, tmp_path):
+    d = orders(spark, tmp_path, spark.range(220 * 3750 + 600, 220 * 3750 + 650))
+    got = queries.T2_stream_generate(spark, d).collect()
+    assert {(r.tile_lat, r.tile_lon): r.differing for r in got} == {(220, 0): 0, (220, 1): 0} and all(r.blocks > 0 for r in got)
