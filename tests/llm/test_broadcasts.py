@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from sparkdem.llm import simhash
+from sparkdem.llm import common, simhash
 
 
 def executed(df):
@@ -24,3 +24,18 @@ def test_components_are_not_broadcast(spark):
     named = simhash.with_components(docs, "fp", labels)
     assert "Broadcast" not in executed(named)
     assert {(r.fp, r.component_id) for r in named.collect()} == {(0, 0), (1, 0), *((k, k) for k in range(2, 7))}
+
+
+def test_written_tables_broadcast_little_on_their_own(spark, monkeypatch):
+    name, seen, write = "spark.sql.autoBroadcastJoinThreshold", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(spark.conf.get(name)), write(self, *a, **b))[1])
+    before = spark.conf.get(name)
+    common.materialise(spark.range(3))
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "-1")
+    try:
+        common.materialise(spark.range(3))
+        assert spark.conf.get(name) == "-1"
+    finally:
+        spark.conf.set(name, before)
+    assert seen == [str(256 << 10), "-1"]
